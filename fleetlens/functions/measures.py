@@ -1,7 +1,7 @@
 """Line formats of load-test output.
 
 A format is a function from the line column to a struct column ``time long, op string, ops int,
-avg_latency float`` that is NULL where the line is no measure. ``register_measure_format`` adds one.
+avg_latency float`` whose ``op`` is NULL where the line is no measure. ``register_measure_format`` adds one.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetlens.functions.text import strip_blanks
-
 # Operation types and their codes.
 OP_CODES = {"SCAN": 1, "INSERT": 2, "UPDATE": 3, "DELETE": 4, "READ": 5}
 
@@ -33,22 +31,19 @@ MeasureFormat = Callable[[Column], Column]
 def bracketed_line(line: Column) -> Column:
     """``[OP], time, mean latency, count`` and any further tokens.
 
-    One pattern accepts or rejects the line; only accepted lines are split.
+    One pattern accepts or rejects a line, and only an accepted line is split. The fields stand outside any
+    condition, so that Spark splits once for all of them; its casts pass over the blanks around a number.
     """
-    tokens = F.split(line, ",", 5)
-
-    def token(i: int) -> Column:
-        return strip_blanks(tokens.getItem(i))
-
-    count = token(3).try_cast("int")  # NULL beyond 32 bits
-    accepted = line.startswith("[") & line.rlike(_MEASURE_LINE) & count.isNotNull()
-    measure = F.struct(
-        token(1).try_cast("long").alias("time"),
-        F.substring_index(F.substring(line, 2, 7), "]", 1).alias("op"),
+    accepted = line.startswith("[") & line.rlike(_MEASURE_LINE)
+    tokens = F.split(F.when(accepted, line), ",", 5)
+    count = tokens.getItem(3).try_cast("int")  # NULL beyond 32 bits
+    op = F.substring_index(F.substring(tokens.getItem(0), 2, 7), "]", 1)
+    return F.struct(
+        tokens.getItem(1).try_cast("long").alias("time"),
+        F.when(count.isNotNull(), op).alias("op"),
         count.alias("ops"),
-        token(2).try_cast("float").alias("avg_latency"),
+        tokens.getItem(2).try_cast("float").alias("avg_latency"),
     )
-    return F.when(accepted, measure)
 
 
 _formats: dict[str, MeasureFormat] = {"bracketed": bracketed_line}

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a trim takes off (U+0000 to U+0020).
-BLANKS = "".join(chr(code) for code in range(0x21))
-
 # A line longer than this many characters goes on as the next line.
 MAX_LINE_CHARS = 1 << 20
 
@@ -15,11 +12,6 @@ MAX_LINE_CHARS = 1 << 20
 URL_PATTERN = r"\b(https?|ftp)://[-a-zA-Z0-9+&@#/%?=~_|!:,.;]*[-a-zA-Z0-9+&@#/%=~_|]"
 
 
-def strip_blanks(text: Column) -> Column:
-    """Takes control characters and blanks off both ends; Spark's plain ``trim`` takes blanks only."""
-    return F.btrim(text, F.lit(BLANKS))
-
-
 def after_last(text: Column, mark: str) -> Column:
     """What follows the last ``mark``; the whole text where there is none."""
     return F.substring_index(text, mark, -1)
@@ -35,7 +27,11 @@ def cut_line(line: Column, max_chars: int = MAX_LINE_CHARS) -> Column:
 def line_array(text: Column, max_chars: int = MAX_LINE_CHARS) -> Column:
     """The lines of a text. LF and CR each end a line; an empty tail is no line; long lines are cut."""
     lines = F.split(text, "[\r\n]")
-    cut = F.flatten(F.transform(lines, lambda line: cut_line(line, max_chars)))
+    cut = F.flatten(
+        F.transform(
+            lines, lambda line: F.when(F.length(line) < max_chars, F.array(line)).otherwise(cut_line(line, max_chars))
+        )
+    )
     lines = F.when(F.length(text) < max_chars, lines).otherwise(cut)
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - F.lit(1))).otherwise(lines)
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetlens.functions.numbers import block
-
 DAY_MS = 24 * 60 * 60 * 1000
 
 # The timestamp form of operation listings, with both spellings of the offset.
@@ -20,8 +18,9 @@ def iso_millis(text: Column) -> Column:
 
 def wall_millis(ts: Column) -> Column:
     """Milliseconds of a timestamp without zone, read as UTC, rounded down."""
-    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
-    return block(micros, 1000)
+    day = F.unix_date(ts.cast("date")).cast("long") * DAY_MS
+    in_minute = F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
+    return day + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + in_minute
 
 
 def millis_to_iso(millis: Column) -> Column:

@@ -157,7 +157,7 @@ def operation_delta(polls: DataFrame, span: int = 512) -> DataFrame:
     entries = _entries(pieces, span, levels=1)
 
     segments = observed.groupBy("name", segment).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    started = segments.join(entries, ["name", "pos"])
+    started = segments.join(entries, ["name", "pos"], "left")
 
     def decide(acc: Column, r: Column) -> Column:
         entry = acc["entry"]

@@ -154,7 +154,8 @@ def role_counts(instances: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def node_liveness(states: DataFrame, order: Sequence[str], node: str = "node", alive: str = "alive") -> DataFrame:
     """The latest alive flag of each node. ``order`` columns are unique per node."""
-    return states.groupBy(node).agg(F.max_by(alive, F.struct(*order)).alias(alive))
+    newest = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    return states.groupBy(node).agg(F.max_by(alive, newest).alias(alive))
 
 
 def any_running(states: DataFrame, order: Sequence[str], node: str = "node", alive: str = "alive") -> DataFrame:

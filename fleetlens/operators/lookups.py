@@ -2,7 +2,8 @@
 
 No join here carries a broadcast hint: adaptive execution broadcasts a side whose measured size is below
 the session's threshold, and splits skewed partitions of the larger side otherwise. Each lookup side is
-reduced to one row per key first, so a frequent key never multiplies rows.
+reduced to one row per key first, on the map side, so a key that fills it neither multiplies rows nor
+gathers in one task.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ def resolve_links_array(df: DataFrame, arr_col: str, lookup: DataFrame, key: str
 
 def missing_nodes(planned: DataFrame, existing: DataFrame, name: str = "instance") -> DataFrame:
     """Planned nodes that do not exist yet."""
-    return planned.join(existing.select(F.col(name)), name, "left_anti")
+    return planned.join(existing.select(name).distinct(), name, "left_anti")
 
 
 def existing_nodes(planned: DataFrame, existing: DataFrame, name: str = "instance") -> DataFrame:
     """Planned nodes that exist already and are skipped."""
-    return planned.join(existing.select(F.col(name)), name, "left_semi")
+    return planned.join(existing.select(name).distinct(), name, "left_semi")
 
 
 def lookup_or_null(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:

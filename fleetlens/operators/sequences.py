@@ -16,7 +16,7 @@ def with_previous(
 ) -> DataFrame:
     """Adds ``prev_<value>``: the value in the key's row before this one; NULL on the first.
 
-    ``order`` is a whole number that no key has twice. A key's history is cut into segments of ``span``
+    ``order`` is a whole number that no key has twice; keys are not NULL. A key's history is cut into segments of ``span``
     order numbers, and the window runs per segment; only the last row of each segment goes on to the next
     one. So a key that holds most of the rows is spread over its segments, and what is ordered per key is
     one row per segment.
@@ -28,6 +28,6 @@ def with_previous(
     tails = staged.groupBy(*keys, "_segment").agg(F.max_by(current, order).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_segment")
     entering = tails.select(*keys, "_segment", F.lag("_tail").over(across).alias("_entering"))
-    joined = staged.withColumn("_before", F.lag(current).over(within)).join(entering, [*keys, "_segment"])
+    joined = staged.withColumn("_before", F.lag(current).over(within)).join(entering, [*keys, "_segment"], "left")
     before = F.coalesce("_before", "_entering")
     return joined.select(*df.columns, *(before[v].alias(f"prev_{v}") for v in values))

@@ -18,18 +18,18 @@ _MEASURE_FIELDS = ("time", "op", "ops", "avg_latency")
 
 
 def _with_measure(lines: DataFrame, fmt: str) -> DataFrame:
-    return lines.withColumn("_measure", measure_format(fmt)(F.col("line")))
+    """Adds the measure's fields; ``op`` is NULL on a line that is no measure.
 
-
-def _unpack(parsed: DataFrame) -> DataFrame:
-    kept = [c for c in parsed.columns if c not in ("line", "_measure", "_failed")]
-    return parsed.select(*kept, *(F.col("_measure")[f].alias(f) for f in _MEASURE_FIELDS))
+    Taking the fields out through a generator keeps filters on them behind it. As plain columns, Spark would
+    move such a filter before the format and evaluate the format twice.
+    """
+    parsed = lines.withColumn("_measure", measure_format(fmt)(F.col("line")))
+    return parsed.select(*lines.columns, F.inline(F.array("_measure")))
 
 
 def parse_measures(lines: DataFrame, fmt: str = "bracketed") -> DataFrame:
-    """Lines that are measures, typed; other lines are left out. One projection, no shuffle."""
-    parsed = _with_measure(lines, fmt)
-    return _unpack(parsed.filter(F.col("_measure").isNotNull()))
+    """Lines that are measures, typed; other lines are left out. No shuffle."""
+    return _with_measure(lines, fmt).filter(F.col("op").isNotNull()).drop("line")
 
 
 def split_rejects(
@@ -41,16 +41,14 @@ def split_rejects(
     ``seq`` on into error text, whatever they hold.
     """
     parsed = _with_measure(lines, fmt)
-    measure = F.col("_measure").isNotNull()
+    measure = F.col("op").isNotNull()
     if failures is not None:
-        after_failure = F.coalesce(F.col("seq") >= F.col("failed_from"), F.lit(False))
-        parsed = (
-            parsed.join(failures.select("node", "failed_from"), "node", "left")
-            .withColumn("_failed", after_failure)
-            .drop("failed_from")
-        )
-        measure = measure & ~F.col("_failed")
-    return _unpack(parsed.filter(measure)), parsed.filter(~measure).drop("_measure", "_failed")
+        parsed = parsed.join(failures.select("node", "failed_from"), "node", "left")
+        measure = measure & ~F.coalesce(F.col("seq") >= F.col("failed_from"), F.lit(False))
+    return (
+        parsed.filter(measure).select(*(c for c in lines.columns if c != "line"), *_MEASURE_FIELDS),
+        parsed.filter(~measure).select(*lines.columns),
+    )
 
 
 def measure_wide(measures: DataFrame) -> DataFrame:

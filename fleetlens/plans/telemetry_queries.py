@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import register_measure_format
+from fleetlens.functions.times import wall_millis
 from fleetlens.operators.lines import split_lines
 from fleetlens.operators.telemetry import (
     measure_wide,
@@ -61,6 +62,17 @@ def src1_read_whole_node_files(spark, sf_dir):
 @bound(
     "src2_split_lines",
     """
+    WITH pieces AS (SELECT doc_id, regexp_split_to_array(text, '[\\r\\n]') AS lines FROM documents),
+    numbered AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM pieces)
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, line FROM numbered WHERE NOT (i = n AND line = '')""",
+)
+def src2_split_lines(spark, sf_dir):
+    return split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+@bound(
+    "src2_split_and_cut_lines",
+    """
     WITH pieces AS (
       SELECT doc_id, l.n AS n, l.line AS line, len(l.line) AS chars, l.n = len(lines) AS last
       FROM (SELECT doc_id, regexp_split_to_array(text, '[\\r\\n]') AS lines FROM documents),
@@ -71,7 +83,7 @@ def src1_read_whole_node_files(spark, sf_dir):
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS INTEGER) AS line_no, line
     FROM cut WHERE NOT (last AND last_piece AND line = '')""",
 )
-def src2_split_lines(spark, sf_dir):
+def src2_split_and_cut_lines(spark, sf_dir):
     return split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", max_chars=80)
 
 
@@ -257,14 +269,14 @@ def ran2_op_mix(spark, sf_dir):
 
 def _semicolon_line(line):
     """``op;time;mean;count``"""
-    tokens = F.split(line, ";")
-    fields = F.struct(
-        F.try_element_at(tokens, F.lit(2)).try_cast("long").alias("time"),
-        F.upper(F.try_element_at(tokens, F.lit(1))).alias("op"),
-        F.try_element_at(tokens, F.lit(4)).try_cast("int").alias("ops"),
-        F.try_element_at(tokens, F.lit(3)).try_cast("float").alias("avg_latency"),
+    accepted = line.rlike(r"\A[a-z]+;[0-9]{1,13};[0-9.]+;[0-9]{1,9}\z")
+    tokens = F.split(F.when(accepted, line), ";")
+    return F.struct(
+        tokens.getItem(1).try_cast("long").alias("time"),
+        F.upper(tokens.getItem(0)).alias("op"),
+        tokens.getItem(3).try_cast("int").alias("ops"),
+        tokens.getItem(2).try_cast("float").alias("avg_latency"),
     )
-    return F.when(line.rlike(r"\A[a-z]+;[0-9]{1,13};[0-9.]+;[0-9]{1,9}\z"), fields)
 
 
 register_measure_format("semicolon", _semicolon_line)
@@ -277,8 +289,6 @@ register_measure_format("semicolon", _semicolon_line)
     FROM events WHERE event_type <> 'error'""",
 )
 def ext1_measure_format(spark, sf_dir):
-    from fleetlens.functions.times import wall_millis
-
     fields = [
         F.when(F.col("event_type") == "error", F.lit("?")).otherwise(F.col("event_type")),
         wall_millis(F.col("ts")).cast("string"),

@@ -78,16 +78,18 @@ def node_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     latency = F.col("value").cast("decimal(12,2)").cast("string")
-    head = F.concat(F.lit("["), op, F.lit("], "), wall_millis(F.col("ts")).cast("string"), F.lit(", "), latency)
-    full = F.concat(head, F.lit(", "), text("user_id"))
     shape = F.col("event_id") % 13
-    line = (
-        F.when(shape == 1, F.concat(F.lit(" "), full))
-        .when(shape == 2, F.concat(full, F.lit(".5")))
-        .when(shape == 3, head)
-        .when(shape == 4, F.concat(full, F.lit(",extra,")))
-        .when(shape == 5, F.concat(full, F.lit("\t")))
-        .otherwise(full)
+    count = F.when(shape == 3, F.lit("")).otherwise(F.concat(F.lit(", "), text("user_id")))
+    tail = F.when(shape == 2, ".5").when(shape == 4, ",extra,").when(shape == 5, "\t").otherwise("")
+    line = F.concat(
+        F.when(shape == 1, " [").otherwise("["),
+        op,
+        F.lit("], "),
+        wall_millis(F.col("ts")).cast("string"),
+        F.lit(", "),
+        latency,
+        count,
+        tail,
     )
     node = F.concat(F.lit("node-"), (F.col("event_id") % 4).cast("string"))
     return table(spark, sf_dir, "events").select(node.alias("node"), F.col("event_id").alias("seq"), line.alias("line"))

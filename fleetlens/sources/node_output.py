@@ -43,12 +43,13 @@ def read_node_output(
     else:
         rows = spark.read.option("recursiveFileLookup", True).text(path)
         place = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK))
-        lines = rows.select(
+        numbered = rows.select(
             F.url_decode(source).alias("_path"),
             (F.col("_metadata.file_block_start") * 2 + place).alias("seq"),
-            F.posexplode(F.when(F.length("value") < MAX_LINE_CHARS, F.array("value")).otherwise(cut_line(F.col("value"))))
-            .alias("piece", "line"),
+            "value",
         )
+        pieces = F.when(F.length("value") < MAX_LINE_CHARS, F.array("value")).otherwise(cut_line(F.col("value")))
+        lines = numbered.select("_path", "seq", F.posexplode(pieces).alias("piece", "line"))
     return lines.select(
         F.regexp_extract("_path", _NODE, 1).alias("node"),
         after_last(F.col("_path"), "/").alias("file"),
