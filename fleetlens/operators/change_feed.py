@@ -13,7 +13,7 @@ The entry after an observation is a function of the entry before it, and such fu
 name's history need not run through one task: it is cut into segments of ``span`` polls, each segment is
 composed on its own, the composed segments are chained to find the entry at the start of each, and every
 segment then decides its own rows. Chaining uses the same composition on groups of ``span`` segments, so
-no group holds more than ``span`` items as long as a feed has at most ``span ** 3`` polls.
+no group holds more than ``span`` items as long as a feed spans at most ``span ** 3`` polls.
 """
 
 from __future__ import annotations
@@ -120,7 +120,8 @@ def _silent(row: Column) -> Column:
 
 def _entries(pieces: DataFrame, span: int, levels: int) -> DataFrame:
     """The entry at the start of each piece (``name``, ``pos``, ``step``), as ``name``, ``pos``, ``entry``."""
-    groups = pieces.groupBy("name", block(F.col("pos"), span).alias("_group")).agg(
+    group = block(F.col("pos"), span) if levels else F.lit(0).cast("long")
+    groups = pieces.groupBy("name", group.alias("_group")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("_pieces")
     )
     if levels == 0:

@@ -12,7 +12,8 @@ from fleetlens.functions.text import after_last
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``name``, ``length``, ``modified``, ``digest`` of the files under ``path``, in natural order of name.
 
-    Contents are digested in the tasks that read them; only the digests are sorted.
+    Contents are digested in the tasks that read them; only the digests are sorted. Spark's file sources skip
+    empty files, so these have no row.
     """
     files = spark.read.format("binaryFile").load(path)
     return files.select(
