@@ -118,18 +118,23 @@ def _silent(row: Column) -> Column:
     return row["cutoff_ms"].isNull() & (row["status"] == "DONE")
 
 
+def _place(number: Column, span: int) -> Column:
+    """Block of a number, never NULL: Spark then adds no filter on it, and both sides of a join share one shuffle."""
+    return F.coalesce(block(number, span), F.lit(0).cast("long"))
+
+
 def _entries(pieces: DataFrame, span: int, levels: int) -> DataFrame:
-    """The entry at the start of each piece (``name``, ``pos``, ``step``), as ``name``, ``pos``, ``entry``."""
-    group = block(F.col("pos"), span) if levels else F.lit(0).cast("long")
-    groups = pieces.groupBy("name", group.alias("_group")).agg(
+    """The entry at the start of each piece (``_name``, ``pos``, ``step``), as ``_name``, ``pos``, ``entry``."""
+    group = _place(F.col("pos"), span) if levels else F.lit(0).cast("long")
+    groups = pieces.groupBy("_name", group.alias("_group")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("_pieces")
     )
     if levels == 0:
         groups = groups.withColumn("entry", _no_entry())
     else:
         composed = _compose_all(F.transform("_pieces", lambda p: p["step"])).alias("step")
-        starts = _entries(groups.select("name", F.col("_group").alias("pos"), composed), span, levels - 1)
-        groups = groups.join(starts.withColumnRenamed("pos", "_group"), ["name", "_group"])
+        starts = _entries(groups.select("_name", F.col("_group").alias("pos"), composed), span, levels - 1)
+        groups = groups.join(starts.withColumnRenamed("pos", "_group"), ["_name", "_group"], "left")
     no_rows = F.array().cast(f"array<struct<pos:bigint,entry:{ENTRY}>>")
     start = F.struct(F.col("entry").alias("entry"), no_rows.alias("out"))
 
@@ -138,7 +143,7 @@ def _entries(pieces: DataFrame, span: int, levels: int) -> DataFrame:
         after = F.when(piece["step"].isNull(), acc["entry"]).otherwise(_apply(piece["step"], acc["entry"]))
         return F.struct(after.alias("entry"), F.concat(acc["out"], F.array(here)).alias("out"))
 
-    return groups.select("name", F.inline(F.aggregate("_pieces", start, go)["out"]))
+    return groups.select("_name", F.inline(F.aggregate("_pieces", start, go)["out"]))
 
 
 def operation_delta(polls: DataFrame, span: int = 512) -> DataFrame:
@@ -150,15 +155,14 @@ def operation_delta(polls: DataFrame, span: int = 512) -> DataFrame:
     """
     observed = observation_facts(polls)
     row = F.struct("poll_id", *(c for c in observed.columns if c != "poll_id"))
-    segment = block(F.col("poll_id"), span).alias("pos")
-    needed = ("poll_ms", "cutoff_ms", "status", "_at", "_hit")
-    slim = F.array_sort(F.collect_list(F.struct("poll_id", *needed)))
-    asked = F.filter(slim, lambda r: ~_silent(r))
-    pieces = observed.groupBy("name", segment).agg(_compose_all(F.transform(asked, _step)).alias("step"))
-    entries = _entries(pieces, span, levels=1)
-
-    segments = observed.groupBy("name", segment).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    started = segments.join(entries, ["name", "pos"], "left")
+    name = F.coalesce("name", F.lit("")).alias("_name")
+    segments = observed.groupBy(name, _place(F.col("poll_id"), span).alias("pos")).agg(
+        F.array_sort(F.collect_list(row)).alias("_rows")
+    )
+    asked = F.filter("_rows", lambda r: ~_silent(r))
+    pieces = segments.select("_name", "pos", _compose_all(F.transform(asked, _step)).alias("step"))
+    # both sides of the join read one and the same shuffle of the observations
+    started = segments.join(_entries(pieces, span, levels=1), ["_name", "pos"], "left")
 
     def decide(acc: Column, r: Column) -> Column:
         entry = acc["entry"]

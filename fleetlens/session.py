@@ -23,6 +23,8 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # no Python call sites in JVM errors; looking them up doubles the time to build large expressions
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
