@@ -25,14 +25,17 @@ def cut_line(line: Column, max_chars: int = MAX_LINE_CHARS) -> Column:
 
 
 def line_array(text: Column, max_chars: int = MAX_LINE_CHARS) -> Column:
-    """The lines of a text. LF and CR each end a line; an empty tail is no line; long lines are cut."""
-    lines = F.split(text, "[\r\n]")
+    """The lines of a text, long ones cut; what follows the last break is a line too, even if empty."""
+    lines = F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n")
     cut = F.flatten(
         F.transform(
             lines, lambda line: F.when(F.length(line) < max_chars, F.array(line)).otherwise(cut_line(line, max_chars))
         )
     )
-    lines = F.when(F.length(text) < max_chars, lines).otherwise(cut)
+    return F.when(F.length(text) < max_chars, lines).otherwise(cut)
+
+
+def without_empty_tail(lines: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - F.lit(1))).otherwise(lines)
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.text import MAX_LINE_CHARS, line_array
+from fleetlens.functions.text import MAX_LINE_CHARS, line_array, without_empty_tail
 
 
 def split_lines(df: DataFrame, text_col: str, max_chars: int = MAX_LINE_CHARS) -> DataFrame:
     """One row per line: ``line_no`` from 0 and ``line``; the other columns stay, the text goes.
 
-    A row whose text is empty or NULL gives no rows. The work is per row: no shuffle.
+    LF and CR each end a line. An empty tail is no line, so an empty or NULL text gives no rows. The work is
+    per row: no shuffle.
     """
     kept = [c for c in df.columns if c != text_col]
-    return df.select(*kept, F.posexplode(line_array(F.col(text_col), max_chars)).alias("line_no", "line"))
+    # the lines are a column of their own, so that they are made once: generators share no subexpressions
+    split = df.select(*kept, line_array(F.col(text_col), max_chars).alias("_lines"))
+    return split.select(*kept, F.posexplode(without_empty_tail(F.col("_lines"))).alias("line_no", "line"))

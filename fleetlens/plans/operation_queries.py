@@ -99,6 +99,10 @@ SELECT o.name, o.poll_id, o.poll_ms, o.cutoff_ms, o.status, o.start_time, o.inse
 FROM walk w JOIN obs o ON o.name = w.name AND o.rn = w.rn WHERE w.emitted
 """
 
+# The hours at which 2024-01-10, 2024-01-20 and all later time begin, in polls; files of a period.
+_TENTH, _TWENTIETH, _END = (19732 * 24, 19742 * 24, 1 << 40)
+_FILES = 4
+
 _FEED_COLUMNS = ("name", "poll_id", "poll_ms", "cutoff_ms", "status", "start_time", "insert_time")
 
 
@@ -109,11 +113,13 @@ def win3_operation_delta(spark, sf_dir):
 
 @bound("str2_operation_delta_stream", _FEED)
 def str2_operation_delta_stream(spark, sf_dir):
-    """Polls arrive as files in time order; an entry's state outlives its batch."""
+    """The polls arrive in three periods of time, one batch each; entries outlive their batch."""
     feed, folder = scratch_folder(spark, "polls"), scratch_folder(spark, "news")
     rows = with_cutoff(polls(spark, sf_dir), span=100).select(*_FEED_COLUMNS)
-    rows.write.parquet(feed)
-    arriving = spark.readStream.schema(rows.schema).parquet(feed)
+    for earliest, latest in ((0, _TENTH), (_TENTH, _TWENTIETH), (_TWENTIETH, _END)):
+        period = rows.filter(F.col("poll_id").between(earliest, latest - 1))
+        period.repartition(_FILES).write.mode("append").parquet(feed)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(feed)
     start(operation_delta_stream(arriving), folder, scratch_folder(spark, "news-state")).awaitTermination()
     return spark.read.schema(rows.schema).parquet(folder)
 
