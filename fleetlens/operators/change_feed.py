@@ -18,6 +18,8 @@ no group holds more than ``span`` items as long as a feed spans at most ``span *
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,8 +111,8 @@ def _compose(first: Column, then: Column) -> Column:
 _STEP_TYPE = f"struct<none:{ENTRY},differ:{ENTRY},same:{ENTRY},keeps:boolean,status:string,since:bigint,until:bigint>"
 
 
-def _compose_all(steps: Column) -> Column:
-    return F.aggregate(steps, F.lit(None).cast(_STEP_TYPE), _compose)
+def _compose_all(items: str, add: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(items, F.lit(None).cast(_STEP_TYPE), add)
 
 
 def _silent(row: Column) -> Column:
@@ -132,7 +134,7 @@ def _entries(pieces: DataFrame, span: int, levels: int) -> DataFrame:
     if levels == 0:
         groups = groups.withColumn("entry", _no_entry())
     else:
-        composed = _compose_all(F.transform("_pieces", lambda p: p["step"])).alias("step")
+        composed = _compose_all("_pieces", lambda done, p: _compose(done, p["step"])).alias("step")
         starts = _entries(groups.select("_name", F.col("_group").alias("pos"), composed), span, levels - 1)
         groups = groups.join(starts.withColumnRenamed("pos", "_group"), ["_name", "_group"], "left")
     no_rows = F.array().cast(f"array<struct<pos:bigint,entry:{ENTRY}>>")
@@ -159,8 +161,8 @@ def operation_delta(polls: DataFrame, span: int = 512) -> DataFrame:
     segments = observed.groupBy(name, _place(F.col("poll_id"), span).alias("pos")).agg(
         F.array_sort(F.collect_list(row)).alias("_rows")
     )
-    asked = F.filter("_rows", lambda r: ~_silent(r))
-    pieces = segments.select("_name", "pos", _compose_all(F.transform(asked, _step)).alias("step"))
+    composed = _compose_all("_rows", lambda done, r: F.when(_silent(r), done).otherwise(_compose(done, _step(r))))
+    pieces = segments.select("_name", "pos", composed.alias("step"))
     # both sides of the join read one and the same shuffle of the observations
     started = segments.join(_entries(pieces, span, levels=1), ["_name", "pos"], "left")
 
