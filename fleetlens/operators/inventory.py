@@ -33,6 +33,9 @@ INVENTORY_COLUMNS = {
 CHART_ROLES = (("shard", "Shard nodes"), ("conf", "Config nodes"), ("puppet", "Puppet nodes"))
 RUNNING = "RUNNING"
 
+# Scheme of a database address that states none.
+DEFAULT_SCHEME = "mongodb://"
+
 # Roles in the order in which their nodes are taken down.
 CLUSTER_TEARDOWN = ("shard", "conf", "puppet")
 TEST_TEARDOWN = ("test", "test-jump")
@@ -50,7 +53,7 @@ def endpoint_columns(
     """Adds ``server_name``, ``internal_host``, ``user_name``, ``address_url`` and ``address_is_url``."""
     server = F.concat(F.col(cluster), F.lit("-"), F.col(role))
     link = F.col(address)
-    with_scheme = F.when(link.contains("//"), link).otherwise(F.concat(F.lit("mongodb://"), link))
+    with_scheme = F.when(link.contains("//"), link).otherwise(F.concat(F.lit(DEFAULT_SCHEME), link))
     return df.withColumns(
         {
             "server_name": server,

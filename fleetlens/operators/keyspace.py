@@ -13,12 +13,17 @@ from fleetlens.functions.digest import hash32, hash_fraction
 # Operation types of a workload in the order of its proportions.
 WORKLOAD_OPS = ("READ", "UPDATE", "SCAN", "INSERT")
 
+# Proportions of a workload where none are given, and those that a test run starts with.
+WORKLOAD_PROPORTIONS = {"READ": 0.75, "UPDATE": 0.25, "SCAN": 0.0, "INSERT": 0.0}
+TEST_RUN_PROPORTIONS = {"READ": 0.8, "UPDATE": 0.2, "SCAN": 0.0, "INSERT": 0.0}
 
-def assign_operations(df: DataFrame, key: str, proportions: dict[str, float]) -> DataFrame:
+
+def assign_operations(df: DataFrame, key: str, proportions: dict[str, float] | None = None) -> DataFrame:
     """Adds ``op``: a repeatable split of the rows by key hash in the given proportions.
 
     Where the proportions sum to less than 1, the keys beyond get NULL. Per row; no shuffle.
     """
+    proportions = WORKLOAD_PROPORTIONS if proportions is None else proportions
     shares = [proportions.get(name, 0.0) for name in WORKLOAD_OPS]
     bounds = dict(zip(WORKLOAD_OPS, accumulate(shares)))
     position = hash_fraction(F.col(key))

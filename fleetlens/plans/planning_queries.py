@@ -156,11 +156,11 @@ def prj8_content_digest(spark, sf_dir):
     return content_digest(table(spark, sf_dir, "documents"), "text").select("doc_id", "md5", "sha1")
 
 
-# The newer snapshot: documents labelled toxic are gone, those in French are in capitals, pages are new.
+# The newer snapshot: documents labelled toxic are gone, those in French have one more line, pages are new.
 _SNAPSHOTS = """
 old_files AS (SELECT 'doc-' || doc_id AS name, text AS content FROM documents),
 new_files AS (
-  SELECT 'doc-' || d.doc_id AS name, CASE WHEN lang = 'fr' THEN upper(text) ELSE text END AS content
+  SELECT 'doc-' || d.doc_id AS name, CASE WHEN lang = 'fr' THEN text || chr(10) || 'seen' ELSE text END AS content
   FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
   UNION ALL SELECT 'page-' || page_id, html FROM pages)
 """
@@ -178,7 +178,7 @@ def jon6_snapshot_diff(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("doc-"), text("doc_id")).alias("name")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1")
-    content = F.when(F.col("lang") == "fr", F.upper("text")).otherwise(F.col("text"))
+    content = F.when(F.col("lang") == "fr", F.concat("text", F.lit("\nseen"))).otherwise(F.col("text"))
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("page-"), text("page_id")).alias("name"), F.col("html").alias("content")
     )

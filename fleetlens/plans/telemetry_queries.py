@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import register_measure_format
 from fleetlens.functions.times import wall_millis
+from fleetlens.operators.keyspace import TEST_RUN_PROPORTIONS
 from fleetlens.operators.lines import split_lines
 from fleetlens.operators.telemetry import (
     measure_wide,
@@ -260,9 +261,7 @@ def str1_measure_stream(spark, sf_dir):
     FROM observed o FULL JOIN requested r ON o.op = r.op""",
 )
 def ran2_op_mix(spark, sf_dir):
-    # Default proportions of a test run.
-    requested = {"READ": 0.8, "UPDATE": 0.2, "SCAN": 0.0, "INSERT": 0.0}
-    wanted = spark.createDataFrame(list(requested.items()), "op string, share double")
+    wanted = spark.createDataFrame(list(TEST_RUN_PROPORTIONS.items()), "op string, share double")
     mix = op_mix(_measures(spark, sf_dir), wanted)
     return mix.withColumns({"observed": F.round("observed", 9), "gap": F.round("gap", 9)})
 

@@ -200,6 +200,14 @@ def test_latest_and_recent(spark):
     assert [(r.zone, r.i) for r in by_zone] == [("z0", 198), ("z0", 195), ("z1", 199), ("z1", 196), ("z2", 197), ("z2", 194)]
 
 
+def test_long_top_lists_are_cut_in_slices_first(spark):
+    ops = spark.range(40000).select(F.col("id").alias("i"), F.when(F.col("id") < 39000, "hot").otherwise("cold").alias("zone"))
+    got = recent_operations(ops, ["i"], n=2500, by="zone")
+    assert "_slice" in got._jdf.queryExecution().analyzed().toString()
+    rows = got.groupBy("zone").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("position").alias("last")).collect()
+    assert sorted(map(tuple, rows)) == [("cold", 1000, 39000, 1000), ("hot", 2500, 36500, 2500)]
+
+
 def test_a_top_list_limits_rows_before_the_shuffle(spark):
     ops = spark.range(100).select(F.col("id").alias("i"), (F.col("id") % 3).alias("zone"))
     plan = recent_operations(ops, ["i"], by="zone")._jdf.queryExecution().executedPlan().toString()
