@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.functions.measures import measure_format
+from fleetlens.functions.measures import OP_CODES, measure_format
 from fleetlens.functions.numbers import block
 
 # Column prefix of each operation type in the wide form, in message order.
@@ -51,6 +51,12 @@ def split_rejects(
     )
 
 
+def with_op_code(measures: DataFrame) -> DataFrame:
+    """Adds ``op_code``, the number of the operation type."""
+    codes = [F.lit(x) for pair in OP_CODES.items() for x in pair]
+    return measures.withColumn("op_code", F.try_element_at(F.create_map(*codes), F.col("op")))
+
+
 def measure_wide(measures: DataFrame) -> DataFrame:
     """One row per measure with a count and a mean for each operation type; 0 where it has none."""
     kept = [c for c in measures.columns if c not in ("op", "ops", "avg_latency")]

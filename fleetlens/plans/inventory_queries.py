@@ -323,14 +323,28 @@ def jon1_resolve_links(spark, sf_dir):
 
 @bound(
     "jon2_resolve_links_array",
-    f"""WITH {_LOOKUP}, {_WANTED}
-    SELECT l_orderkey, string_agg(coalesce(link, w.name), '|' ORDER BY w.name) AS names
-    FROM wanted w LEFT JOIN first_link f ON f.name = w.name GROUP BY l_orderkey""",
+    f"""WITH {_LOOKUP}, elements AS (
+      SELECT o_orderkey, unnest([1, 2, 3]) AS i, printf('Supplier#%09d', unnest([o_custkey, o_orderkey, o_custkey // 10])) AS name
+      FROM orders WHERE o_orderpriority NOT IN ('2-HIGH', '5-LOW')),
+    resolved AS (
+      SELECT o_orderkey, string_agg(coalesce(link, e.name), '|' ORDER BY i) AS names
+      FROM elements e LEFT JOIN first_link f ON f.name = e.name GROUP BY o_orderkey)
+    SELECT o.o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE names END AS names
+    FROM orders o LEFT JOIN resolved r ON r.o_orderkey = o.o_orderkey""",
 )
 def jon2_resolve_links_array(spark, sf_dir):
-    lists = _wanted(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    resolved = resolve_links_array(lists, "names", _lookup(spark, sf_dir), "l_orderkey")
-    return resolved.withColumn("names", F.nullif(F.array_join("names", "|"), F.lit("")))
+    """Three names in each order's list, none in some, and no list in others."""
+
+    def supplier(key):
+        return F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))
+
+    names = F.array(supplier(F.col("o_custkey")), supplier(F.col("o_orderkey")), supplier(block(F.col("o_custkey"), 10)))
+    names = F.when(F.col("o_orderpriority") == "5-LOW", F.slice(names, 1, 0)).otherwise(names)
+    lists = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderpriority") != "2-HIGH", names).alias("names")
+    )
+    resolved = resolve_links_array(lists, "names", _lookup(spark, sf_dir), "o_orderkey")
+    return resolved.withColumn("names", F.array_join("names", "|"))
 
 
 def _planned(spark, sf_dir) -> DataFrame:

@@ -23,6 +23,11 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # streaming state on disk with incremental checkpoints, so that its size is not bound by memory
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         # no Python call sites in JVM errors; looking them up doubles the time to build large expressions
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

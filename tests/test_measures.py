@@ -16,6 +16,7 @@ from fleetlens.operators.telemetry import (
     series_points,
     split_rejects,
     throughput,
+    with_op_code,
 )
 
 ACCEPTED = {
@@ -163,6 +164,12 @@ def test_wide_form_has_zero_for_absent(spark):
     ]
 
 
+def test_codes_of_operation_types(spark):
+    lines = [f"[{op}], 1, 1, 1" for op in ("SCAN", "INSERT", "UPDATE", "DELETE", "READ")]
+    got = with_op_code(parse_measures(_lines(spark, lines))).orderBy("seq").collect()
+    assert [r.op_code for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_error_text_is_whole_and_in_order(spark):
     rows = [(n, i, f"<{i}>") for n in ("bad", "good") for i in range(1000)]
     rejects = spark.createDataFrame(rows, "node string, seq long, line string").repartition(7)
