@@ -108,7 +108,7 @@ _FEED_COLUMNS = ("name", "poll_id", "poll_ms", "cutoff_ms", "status", "start_tim
 
 @bound("win3_operation_delta", _FEED)
 def win3_operation_delta(spark, sf_dir):
-    return operation_delta(with_cutoff(polls(spark, sf_dir), span=100), span=64).select(*_FEED_COLUMNS)
+    return operation_delta(with_cutoff(polls(spark, sf_dir))).select(*_FEED_COLUMNS)
 
 
 @bound("str2_operation_delta_stream", _FEED)
