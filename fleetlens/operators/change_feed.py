@@ -42,9 +42,10 @@ def with_cutoff(polls: DataFrame, span: int = 100_000) -> DataFrame:
 
 
 def observation_facts(polls: DataFrame) -> DataFrame:
-    """Adds what the rule needs of each observation: ``_start`` and ``_at`` in milliseconds, ``_hit``.
+    """Adds what the rule needs of each observation.
 
-    ``_hit`` marks rows that are news whatever the feed remembers.
+    ``_at``: the operation's time in milliseconds, its start or else its insertion, NULL if unreadable.
+    ``_hit``: whether the row is news whatever the feed remembers.
     """
     start = iso_millis(F.col("start_time"))
     at = F.when(F.length("start_time") > 0, start).otherwise(iso_millis(F.col("insert_time")))
@@ -153,7 +154,7 @@ def operation_delta(polls: DataFrame, span: int = 512) -> DataFrame:
 
     ``polls``: ``poll_id`` (whole number, rising with time), ``poll_ms``, ``cutoff_ms`` (see
     ``with_cutoff``), ``name`` (once per poll), ``status``, ``start_time``, ``insert_time`` (ISO 8601), and
-    any more columns, which come out unchanged.
+    any more columns of types that can be ordered, which come out unchanged.
     """
     observed = observation_facts(polls)
     row = F.struct("poll_id", *(c for c in observed.columns if c != "poll_id"))
