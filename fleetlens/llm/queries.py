@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from fleetlens.llm import license_scan as licenses
-from fleetlens.llm import mixing
+from fleetlens.llm import mixing, packing
+from fleetlens.llm import token_counts as counts
 from fleetlens.llm.common import table
 from fleetlens.llm.registry import ORACLES, QUERIES, bound
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@bound("op1_pack_documents")
+def pack_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@bound("op4_token_counts")
+def token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    counted = counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 @bound("op9_source_mix")
 def source_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
