@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetlens.llm import license_scan as licenses
-from fleetlens.llm import mixing, packing
+from fleetlens.llm import mixing, packing, warc
 from fleetlens.llm import token_counts as counts
 from fleetlens.llm.common import table
 from fleetlens.llm.registry import ORACLES, QUERIES, bound
+from fleetlens.session import scratch_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -28,6 +29,33 @@ def token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@bound(
+    "op7_warc_round_trip",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+    l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+    FROM l
+    """,
+)
+def warc_round_trip(spark, sf_dir):
+    folder = scratch_folder(spark, "warc")
+    warc.write_warc(warc.captures(table(spark, sf_dir, "pages")), folder)
+    read = warc.assemble(spark, folder)
+    whole = F.col("response.warc_type") == "response"
+    return read.select(
+        warc.field("page-id").cast("long").alias("page_id"),
+        F.when(whole, F.col("block_bytes")).otherwise(F.col("response.http_length")).alias("payload_bytes"),
+        F.when(whole, F.col("block_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.col("response.warc_type").alias("record_type"),
+        warc.field("refers-to-page-id").cast("long").alias("refers_to"),
+    )
+
+
 @bound("op9_source_mix")
 def source_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
