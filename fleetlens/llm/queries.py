@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetlens.llm import license_scan as licenses
-from fleetlens.llm import mixing, packing, warc
+from fleetlens.llm import mixing, packing, quality, toxicity, warc
 from fleetlens.llm import token_counts as counts
 from fleetlens.llm.common import table
 from fleetlens.llm.registry import ORACLES, QUERIES, bound
+from fleetlens.llm.sampling import fold
 from fleetlens.session import scratch_folder
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -22,6 +23,16 @@ def pack_documents(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@bound("op3_quality")
+def quality_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @bound("op4_token_counts")
 def token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -29,6 +40,16 @@ def token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@bound("op6_toxicity")
+def toxicity_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "offending",
+    )
+
+
 @bound(
     "op7_warc_round_trip",
     """
