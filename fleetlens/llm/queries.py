@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetlens.llm import license_scan as licenses
-from fleetlens.llm import mixing, packing, quality, toxicity, warc
+from fleetlens.llm import mixing, packing, quality, range_join, toxicity, warc
 from fleetlens.llm import token_counts as counts
 from fleetlens.llm.common import table
 from fleetlens.llm.registry import ORACLES, QUERIES, bound
@@ -77,6 +77,31 @@ def warc_round_trip(spark, sf_dir):
     )
 
 
+@bound(
+    "op8_near_vectors",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(vec_id, id) AS (
+      SELECT vec_id, vec_id FROM embeddings
+      UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.id = links.a)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.low AS component_id, e.vec_id = r.low AS kept
+    FROM embeddings e
+    JOIN (SELECT vec_id, min(id) AS low FROM reach GROUP BY vec_id) r USING (vec_id)
+    LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) n USING (vec_id)
+    """,
+)
+def near_vectors(spark, sf_dir):
+    found = range_join.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @bound("op9_source_mix")
 def source_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
