@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetlens.llm import license_scan as licenses
-from fleetlens.llm import mixing, packing, quality, range_join, toxicity, warc
+from fleetlens.llm import graph_search, mixing, packing, quality, range_join, toxicity, warc
 from fleetlens.llm import token_counts as counts
 from fleetlens.llm.common import table
 from fleetlens.llm.registry import ORACLES, QUERIES, bound
@@ -40,6 +40,13 @@ def token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@bound("op5_nearest_vectors")
+def nearest_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    found = graph_search.nearest(vectors, F.col("vec_id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @bound("op6_toxicity")
 def toxicity_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
