@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetlens.llm import license_scan as licenses
-from fleetlens.llm import graph_search, mixing, packing, quality, range_join, toxicity, warc
+from fleetlens.llm import graph_search, mixing, near_dup, packing, quality, range_join, toxicity, warc
 from fleetlens.llm import token_counts as counts
 from fleetlens.llm.common import table
 from fleetlens.llm.registry import ORACLES, QUERIES, bound
@@ -23,6 +23,11 @@ def pack_documents(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@bound("op2_near_documents")
+def near_documents(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @bound("op3_quality")
 def quality_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
