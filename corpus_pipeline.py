@@ -1,12 +1,63 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: quality, toxicity, near-duplicates, mixing and packing over ``documents``.
+
+Each stage is written as Parquet and read again by the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetlens.llm import mixing, near_dup, packing, quality, toxicity
 from fleetlens.session import scratch_folder
 
-STAGES: list = []
+REJECT_QUALITY_BELOW = 0.3
+REJECT_TOXIC_FROM = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as good ones; the others go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where(F.col("score") >= REJECT_QUALITY_BELOW).select(*docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not score as toxic; the others go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where(F.col("score") < REJECT_TOXIC_FROM).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    dropped = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: once per round of which it takes at least half of their words."""
+    taken = mixing.taken(mixing.mix(docs)).where("size > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    # the documents after near-dedup have one row per id
+    repeats = taken.select("doc_id", times.alias("_times")).where("_times > 0")
+    mixed = docs.join(repeats, "doc_id").withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return mixed.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document with their place in a sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("source mix", mixing_stage),
+    ("packing", packing_stage),
+]
+
+# Trained scores cannot be written in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -94,7 +94,10 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, st
         p = positive[draw.integers(0, len(positive), 512)]
         u = unlabelled[draw.integers(0, len(unlabelled), 512)]
         z = np.concatenate([p, u])
-        hidden, out = _forward(weights, z)
+        # strips this small are multiplied by one thread each, so that busy machines do not wait for each other
+        strips = z.reshape(16, 64, -1)
+        hidden, out = _forward(weights, strips)
+        hidden, out = hidden.reshape(len(z), -1), out.ravel()
         sure = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
         # derivative of the logistic loss: as positive sure - 1, as negative sure
         grad = np.empty(len(z), np.float32)
@@ -109,7 +112,7 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, st
             else:  # the negative part has been fitted below zero: only push it back
                 grad[:512], grad[512:] = prior * sure[:512] / 512, -sure[512:] / 512
         back = np.outer(grad, weights[2]) * (1 - hidden**2)
-        grads = [z.T @ back, back.sum(0), hidden.T @ grad, np.array([grad.sum()])]
+        grads = [(strips.transpose(0, 2, 1) @ back.reshape(16, 64, -1)).sum(0), back.sum(0), hidden.T @ grad, np.array([grad.sum()])]
         rate = 0.01 * min(1, 2 * (1 - step / (steps + 1)))
         for i, g in enumerate(grads):
             g = g + 1e-4 * weights[i]
