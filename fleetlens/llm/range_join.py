@@ -137,8 +137,8 @@ def near_vectors(
     chosen = classes.select("vector", "id").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     lengths = [len(r["vector"]) for r in chosen]
     common = max(set(lengths), key=lengths.count) if lengths else 0
-    points = np.array([r["vector"] for r in chosen if len(r["vector"]) == common], np.float64).reshape(-1, common)
-    points = _unit(points) if len(points) else points
+    points = [r["vector"] for r in chosen if len(r["vector"]) == common]
+    points = _unit(np.array(points, np.float64)) if points else np.zeros((0, 0))
     cells = cut(replicated(classes, points, float(np.sqrt(2 - 2 * cosine))), "vector-cells")
     kind = rows.schema["id"].dataType.simpleString()
     found = cut(

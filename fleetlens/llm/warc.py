@@ -136,20 +136,20 @@ def _walk(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
 
     def more() -> bool:
         nonlocal unzip, at
-        while at < len(content) or unzip.unused_data:
+        while True:
             if unzip.eof:  # the next member of the file
-                rest, unzip = unzip.unused_data, zlib.decompressobj(31)
-                if rest:
-                    held.extend(unzip.decompress(rest))
-                    if not unzip.eof:
-                        return True
-                    continue
-            got = unzip.decompress(content[at : at + READ_BYTES])
-            at += READ_BYTES
-            held.extend(got)
+                given, unzip = unzip.unused_data, zlib.decompressobj(31)
+            else:
+                given = b""
+            if not given:
+                if at >= len(content):
+                    return False
+                given = content[at : at + READ_BYTES]
+                at += READ_BYTES
+            got = unzip.decompress(given)
             if got:
+                held.extend(got)
                 return True
-        return False
 
     while True:
         while (end := held.find(END.encode())) < 0:
