@@ -28,7 +28,7 @@ from fleetlens.session import ship_package
 class Graph:
     """A directed graph over the rows of ``points``; -1 stands for no edge."""
 
-    def __init__(self, points: np.ndarray, degree: int = 28, beam: int = 48, relaxed: float = 1.2, seed: int = 5):
+    def __init__(self, points: np.ndarray, degree: int = 32, beam: int = 48, relaxed: float = 1.05, seed: int = 5):
         # float32 for walking; exact products are taken outside
         self.points = points.astype(np.float32)
         self.norms = (self.points**2).sum(1)
