@@ -11,11 +11,11 @@ from fleetlens.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.sql.streaming.stopTimeout": "30s"},
+        **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.sql.streaming.stopTimeout": "30s"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
