@@ -158,7 +158,8 @@ def operation_delta(polls: DataFrame, span: int = 512) -> DataFrame:
     """
     observed = observation_facts(polls)
     row = F.struct("poll_id", *(c for c in observed.columns if c != "poll_id"))
-    name = F.coalesce("name", F.lit("")).alias("_name")
+    # a NULL name has a history of its own, apart from the empty one
+    name = F.coalesce(F.concat(F.lit("="), "name"), F.lit("")).alias("_name")
     segments = observed.groupBy(name, _place(F.col("poll_id"), span).alias("pos")).agg(
         F.array_sort(F.collect_list(row)).alias("_rows")
     )

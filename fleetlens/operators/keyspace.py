@@ -38,7 +38,9 @@ def hash_shards(df: DataFrame, key: str, n: int, method: str = "md5") -> DataFra
 
 def shard_balance(df: DataFrame, key: str, n: int, method: str = "md5") -> DataFrame:
     """``shard``, ``rows``, ``share``, ``max_to_mean`` of all n shards, empty ones too."""
-    counts = hash_shards(df, key, n, method).groupBy("shard").agg(F.count("*").alias("rows"))
+    # rows are counted per key on the map side, so that each distinct key is hashed once
+    per_key = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"))
+    counts = hash_shards(per_key, "_key", n, method).groupBy("shard").agg(F.sum("_rows").alias("rows"))
     shards = df.sparkSession.range(n).select(F.col("id").cast("int").alias("shard"))
     rows = shards.join(counts, "shard", "left").select("shard", F.coalesce("rows", F.lit(0)).alias("rows"))
     everything = Window.partitionBy()  # over n rows
@@ -57,8 +59,8 @@ def key_skew(df: DataFrame, key: str) -> DataFrame:
     Keys with equal counts share a rank, and ``cumulative_share`` covers all keys up to that rank. Ranks and
     running sums depend on the count alone, so they are found over the distinct counts. N rows have at most
     sqrt(2N) distinct counts, as d of them need 1 + 2 + ... + d rows: 1.5 million for 10^12 rows, at 32 bytes
-    each. That bounds what the one unpartitioned window sees and what the broadcast sends; without it, all the
-    keys of the commonest count would meet in one task.
+    each, which is what the one unpartitioned window sees. The join back carries no hint: adaptive execution
+    broadcasts the ranks by measured size, and splits the keys of a common count otherwise.
     """
     per_key = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("rows"))
     per_count = per_key.groupBy("rows").agg((F.col("rows") * F.count("*")).alias("_together"))
@@ -71,4 +73,4 @@ def key_skew(df: DataFrame, key: str) -> DataFrame:
         (F.col("rows") / total).alias("share"),
         (running / total).alias("cumulative_share"),
     )
-    return per_key.join(F.broadcast(ranks), F.col("rows") == F.col("_rows")).drop("_rows")
+    return per_key.join(ranks, F.col("rows") == F.col("_rows")).drop("_rows")

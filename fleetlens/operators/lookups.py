@@ -25,18 +25,28 @@ def resolve_links(df: DataFrame, col: str, lookup: DataFrame) -> DataFrame:
     return joined.withColumn(col, F.coalesce("_link", F.col(col))).select(*df.columns)
 
 
-def resolve_links_array(df: DataFrame, arr_col: str, lookup: DataFrame, key: str) -> DataFrame:
-    """``resolve_links`` for each element of a list; positions are kept. ``key`` is unique per row.
+def resolve_links_array(df: DataFrame, arr_col: str, lookup: DataFrame) -> DataFrame:
+    """``resolve_links`` for each element of a list; positions are kept, and NULL and empty lists stay as they are.
 
-    The lists are taken apart for the join and put together by ``key``, so a group is one row's list.
+    The lists are taken apart for the join and put together by a number that each row gets for it, so rows need no
+    key of their own and a group is one row's list. The row travels with its first element; nothing is joined back.
     """
-    elements = df.select(F.col(key).alias("_key"), F.posexplode(arr_col).alias("_pos", "_item"))
-    resolved = resolve_links(elements, "_item", lookup)
-    lists = resolved.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_items"))
-    joined = df.join(lists, F.col(key) == F.col("_key"), "left")
-    # array_sort and collect_list keep a NULL element, as its position is not NULL
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*df.columns).alias("_whole"))
+    elements = numbered.select("_row", "_whole", F.posexplode_outer(F.col("_whole")[arr_col]).alias("_pos", "_item"))
+    first = F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_whole"))
+    resolved = resolve_links(elements.select("_row", first.alias("_whole"), "_pos", "_item"), "_item", lookup)
+    element = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_item"))
+    lists = resolved.groupBy("_row").agg(
+        F.first("_whole", ignorenulls=True).alias("_whole"), F.array_sort(F.collect_list(element)).alias("_items")
+    )
+    # collect_list keeps a NULL element, as its position is not NULL
     items = F.transform("_items", lambda e: e["_item"])
-    return joined.withColumn(arr_col, F.coalesce(items, F.col(arr_col))).select(*df.columns)
+    whole = F.col("_whole")
+    shown = [
+        F.when(F.size("_items") > 0, items).otherwise(whole[c]).alias(c) if c == arr_col else whole[c].alias(c)
+        for c in df.columns
+    ]
+    return lists.select(*shown)
 
 
 def missing_nodes(planned: DataFrame, existing: DataFrame, name: str = "instance") -> DataFrame:

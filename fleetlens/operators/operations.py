@@ -15,7 +15,7 @@ from fleetlens.operators.sequences import with_previous
 STATUS_LABELS = {"DONE": ("done", "success"), "RUNNING": ("running", "info"), "PENDING": ("pending", "warning")}
 OTHER_LABEL = "important"
 
-SLICES = 1024
+SLICES = 256
 
 
 def operation_view(ops: DataFrame) -> DataFrame:
@@ -65,8 +65,7 @@ def status_changes(events: DataFrame, order: str, name: str = "name", span: int
 def recent_operations(ops: DataFrame, newest_first: Sequence[str], n: int = 50, by: str | None = None) -> DataFrame:
     """The last ``n`` operations, newest first; with ``by``, the last ``n`` of each group and their ``position``.
 
-    Every input partition passes on at most ``n`` rows (per group). Spark does that by itself up to a limit;
-    beyond it, each of several slices of a group is cut to its last ``n`` first.
+    Each of several slices of a group is cut to its last ``n`` first, so no task sees a whole group, whatever ``n``.
     """
     order = [F.col(c).desc() for c in newest_first]
     if by is None:
@@ -76,7 +75,5 @@ def recent_operations(ops: DataFrame, newest_first: Sequence[str], n: int = 50,
         rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         return rows.withColumn("position", rank).filter(F.col("position") <= n)
 
-    if n > int(ops.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        sliced = ops.withColumn("_slice", F.pmod(F.xxhash64(*newest_first), F.lit(SLICES)))
-        ops = newest(sliced, by, "_slice").drop("_slice", "position")
-    return newest(ops, by)
+    sliced = ops.withColumn("_slice", F.pmod(F.xxhash64(*newest_first), F.lit(SLICES)))
+    return newest(newest(sliced, by, "_slice").drop("_slice", "position"), by)

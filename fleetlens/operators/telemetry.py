@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from fleetlens.functions.measures import OP_CODES, measure_format
@@ -16,6 +15,16 @@ WIDE_PREFIX = {"INSERT": "insert", "UPDATE": "update", "DELETE": "delete", "SCAN
 
 _MEASURE_FIELDS = ("time", "op", "ops", "avg_latency")
 
+# The columns that order the lines of a node as they arrived; lines may have only some of them.
+ARRIVAL = ("file_time", "file", "split", "seq", "piece")
+# Those that a part of a node's lines lies within.
+_SOURCE = ("file_time", "file", "split")
+
+
+def arrival(lines: DataFrame) -> list[str]:
+    """The columns that order the lines of a node."""
+    return [c for c in ARRIVAL if c in lines.columns]
+
 
 def _with_measure(lines: DataFrame, fmt: str) -> DataFrame:
     """Adds the measure's fields; ``op`` is NULL on a line that is no measure.
@@ -37,14 +46,20 @@ def split_rejects(
 ) -> tuple[DataFrame, DataFrame]:
     """Measures and error text; every line is in exactly one of the two.
 
-    ``failures`` (``node``, ``failed_from``: one row per failed node) turns all lines of a node from that
-    ``seq`` on into error text, whatever they hold.
+    ``failures`` (``node``, ``failed_from``: one row per failed node) turns all lines of a node from that point on
+    into error text, whatever they hold, in all files that come later. ``failed_from`` is a struct of the lines'
+    ``arrival`` columns, or a plain ``seq`` where lines have no other of them.
     """
     parsed = _with_measure(lines, fmt)
     measure = F.col("op").isNotNull()
     if failures is not None:
+        order = arrival(lines)
+        plain = not isinstance(failures.schema["failed_from"].dataType, StructType)
+        if plain and order != ["seq"]:
+            raise ValueError(f"failed_from must be a struct of {', '.join(order)}")
+        here = F.col("seq") if plain else F.struct(*order)
         parsed = parsed.join(failures.select("node", "failed_from"), "node", "left")
-        measure = measure & ~F.coalesce(F.col("seq") >= F.col("failed_from"), F.lit(False))
+        measure = measure & ~F.coalesce(here >= F.col("failed_from"), F.lit(False))
     return (
         parsed.filter(measure).select(*(c for c in lines.columns if c != "line"), *_MEASURE_FIELDS),
         parsed.filter(~measure).select(*lines.columns),
@@ -72,22 +87,22 @@ def measure_wide(measures: DataFrame) -> DataFrame:
 def node_error_text(
     rejects: DataFrame,
     exit_status: DataFrame,
-    per: Sequence[str] = ("node",),
-    order: Sequence[str] = ("seq",),
     lines_per_part: int = 256,
 ) -> DataFrame:
     """The error text of every failed node (exit status other than 0), whole and in arrival order.
 
-    A node's text may be of any size, so it comes in parts: part ``p`` joins, without separator, the lines
-    with ``seq`` from ``p * lines_per_part`` up to the next part. The parts in order are the node's text,
-    and no task ever holds more than one part. ``per`` adds a file column where a node has several files;
-    ``order`` adds columns that order lines of equal ``seq``.
+    A node's text may be of any size, so it comes in parts: part ``p`` of a file (or of a split of it) joins,
+    without separator, the lines with ``seq`` from ``p * lines_per_part`` up to the next part. The parts of a node
+    ordered by what ``rejects`` has of ``file_time``, ``file`` and ``split``, then ``part``, are the node's text, and
+    no task ever holds more than one part.
     """
     failed = exit_status.filter(F.col("exit_status") != 0).select("node")
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "line")))
+    source = [c for c in _SOURCE if c in rejects.columns]
+    within = [c for c in arrival(rejects) if c not in source]
+    ordered = F.array_sort(F.collect_list(F.struct(*within, "line")))
     return (
         rejects.join(failed, "node", "left_semi")
-        .groupBy(*per, block(F.col(order[0]), lines_per_part).alias("part"))
+        .groupBy("node", *source, block(F.col("seq"), lines_per_part).alias("part"))
         .agg(
             F.array_join(F.transform(ordered, lambda e: e["line"]), "").alias("error_text"),
             F.count("*").alias("lines"),
@@ -115,14 +130,14 @@ def node_series(
     metric: str = "ops",
     op: str = "INSERT",
     only_matching: bool = False,
-    per: Sequence[str] = ("node",),
-    order: Sequence[str] = ("seq",),
     points_per_part: int = 4096,
 ) -> DataFrame:
     """Each node's points as arrays in arrival order, in parts of bounded size (see ``node_error_text``)."""
     points = series_points(measures, metric, op, only_matching)
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "x", "y")))
-    return points.groupBy(*per, block(F.col(order[0]), points_per_part).alias("part")).agg(
+    source = [c for c in _SOURCE if c in measures.columns]
+    within = [c for c in arrival(measures) if c not in source]
+    ordered = F.array_sort(F.collect_list(F.struct(*within, "x", "y")))
+    return points.groupBy("node", *source, block(F.col("seq"), points_per_part).alias("part")).agg(
         F.transform(ordered, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import block
 from fleetlens.operators.inventory import (
+    INVENTORY_COLUMNS,
     TEST_TEARDOWN,
     any_running,
     classify_nodes,
@@ -33,7 +34,7 @@ from fleetlens.operators.lookups import (
 )
 from fleetlens.operators.planning import cluster_plan
 from fleetlens.plans.registry import bound
-from fleetlens.plans.views import EXISTING, INSTANCES, PLAN, existing, instances, specs, table, text
+from fleetlens.plans.views import EXISTING, INSTANCES, NODE_LINES, PLAN, existing, instances, node_lines, specs, table, text
 from fleetlens.session import scratch_folder
 from fleetlens.sources.files import file_digests
 from fleetlens.sources.inventory import read_inventory
@@ -103,10 +104,53 @@ def prj6_inventory_view(spark, sf_dir):
     return inventory_view(read_inventory(spark, folder, "disks"), "disks")
 
 
-@bound("src4_file_digests")
+@bound(
+    "src4_file_digests",
+    f"""WITH {NODE_LINES}, texts AS (
+      SELECT node, string_agg(line || chr(10), '' ORDER BY seq) AS text FROM node_lines GROUP BY node)
+    SELECT 'node=' || node AS folder, strlen(text) AS length, regexp_replace(md5(text), '^0+(.)', '\\1') AS digest
+    FROM texts""",
+)
 def src4_file_digests(spark, sf_dir):
-    """The supplied files themselves. Their digests are checked against hashlib in the tests."""
-    return file_digests(spark, f"{sf_dir}/*.parquet").select("name", "length", "digest")
+    """The node output files, one per node."""
+    folder = scratch_folder(spark, "digested")
+    lines = node_lines(spark, sf_dir).repartition("node").sortWithinPartitions("node", "seq")
+    lines.select("node", "line").write.partitionBy("node").text(folder)
+    return file_digests(spark, f"{folder}/*/*.txt").select("folder", "length", "digest")
+
+
+# What the supplied tables give for the kinds of listings that are neither instances nor disks.
+_KINDS = {
+    "diskTypes": ("part", "p_partkey", {"name": "p_name", "description": "p_brand", "validDiskSize": "p_type"}),
+    "images": ("supplier", "s_suppkey", {"name": "s_name", "description": None, "status": "s_name"}),
+    "networks": ("region", "r_regionkey", {"name": "r_name", "description": "r_name", "ip4Range": None, "ip4Gateway": "r_name"}),
+    "zones": ("nation", "n_nationkey", {"name": "n_name", "description": None, "region": "n_regionkey", "status": "n_name"}),
+    "machinetypes": ("part", "p_partkey", {"name": "p_name", "description": "p_type", "cpus": "p_size", "memoryMb": "p_partkey"}),
+}
+_NUMBERS = {"cpus": "int", "memoryMb": "int"}
+
+
+def _listing(kind: str) -> None:
+    source, key, fields = _KINDS[kind]
+    published = INVENTORY_COLUMNS[kind]
+    kinds = {"int": "INTEGER", "string": "VARCHAR"}
+    columns = ", ".join(
+        f"CAST({value or 'NULL'} AS {kinds[_NUMBERS.get(name, 'string')]}) AS {published[name]}" for name, value in fields.items())
+
+    @bound(f"src3_{kind.lower()}_listing", f"SELECT CAST({key} AS VARCHAR) AS id, {columns} FROM {source}")
+    def query(spark, sf_dir):
+        folder = scratch_folder(spark, kind)
+        objects = table(spark, sf_dir, source).withColumn("id", F.col(key).cast("string"))
+        written = [
+            (F.col(value) if value else F.lit(None)).cast(_NUMBERS.get(name, "string")).alias(name)
+            for name, value in fields.items()
+        ]
+        _write_listings(objects.withColumn("c_custkey", F.col(key)), kind, written, folder)
+        return inventory_view(read_inventory(spark, folder, kind), kind)
+
+
+for _kind in _KINDS:
+    _listing(_kind)
 
 
 @bound(
@@ -343,7 +387,28 @@ def jon2_resolve_links_array(spark, sf_dir):
     lists = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.when(F.col("o_orderpriority") != "2-HIGH", names).alias("names")
     )
-    resolved = resolve_links_array(lists, "names", _lookup(spark, sf_dir), "o_orderkey")
+    resolved = resolve_links_array(lists, "names", _lookup(spark, sf_dir))
+    return resolved.withColumn("names", F.array_join("names", "|"))
+
+
+@bound(
+    "jon2_resolve_links_of_repeated_rows",
+    f"""WITH {_LOOKUP}, elements AS (
+      SELECT o_orderkey, unnest([1, 2]) AS i, printf('Supplier#%09d', unnest([o_custkey, o_custkey // 10])) AS name FROM orders),
+    resolved AS (
+      SELECT o_orderkey, string_agg(coalesce(link, e.name), '|' ORDER BY i) AS names
+      FROM elements e LEFT JOIN first_link f ON f.name = e.name GROUP BY o_orderkey)
+    SELECT CASE WHEN o.o_orderkey % 3 <> 0 THEN o.o_orderkey % 3 END AS key, names
+    FROM orders o JOIN resolved r ON r.o_orderkey = o.o_orderkey""",
+)
+def jon2_resolve_links_of_repeated_rows(spark, sf_dir):
+    """Rows whose key is one of two, or NULL: every row keeps its own list."""
+    names = F.array(*(
+        F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))
+        for key in (F.col("o_custkey"), block(F.col("o_custkey"), 10))))
+    key = F.col("o_orderkey") % 3
+    lists = table(spark, sf_dir, "orders").select(F.when(key != 0, key).alias("key"), names.alias("names"))
+    resolved = resolve_links_array(lists, "names", _lookup(spark, sf_dir))
     return resolved.withColumn("names", F.array_join("names", "|"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetlens.operators.change_feed import operation_delta, with_cutoff
 from fleetlens.operators.operations import (
@@ -17,7 +18,7 @@ from fleetlens.plans.views import OPERATIONS, POLLS, operations, polls
 from fleetlens.session import scratch_folder
 from fleetlens.sources.messages import read_messages, write_messages
 from fleetlens.streaming.measures import start
-from fleetlens.streaming.operations import operation_delta_stream
+from fleetlens.streaming.operations import latest_operation_stream, operation_delta_stream, read_polls
 
 _VIEW = """SELECT name, insert_time AS date, start_time AS start, end_time AS "end", progress, status, "user", optype,
   CASE WHEN contains(target_link, '/') THEN regexp_extract(target_link, '[^/]*$') ELSE target_link END AS target
@@ -111,19 +112,87 @@ def win3_operation_delta(spark, sf_dir):
     return operation_delta(with_cutoff(polls(spark, sf_dir))).select(*_FEED_COLUMNS)
 
 
-@bound("str2_operation_delta_stream", _FEED)
-def str2_operation_delta_stream(spark, sf_dir):
-    """The polls arrive in three periods of time, one batch each; entries outlive their batch."""
+def _streamed_feed(spark, sf_dir, periods):
+    """The news of polls that arrive period by period, one batch each."""
     feed, folder = scratch_folder(spark, "polls"), scratch_folder(spark, "news")
     rows = with_cutoff(polls(spark, sf_dir), span=100).select(*_FEED_COLUMNS)
-    for earliest, latest in ((0, _TENTH), (_TENTH, _TWENTIETH), (_TWENTIETH, _END)):
+    for earliest, latest in periods:
         period = rows.filter(F.col("poll_id").between(earliest, latest - 1))
         period.repartition(_FILES).write.mode("append").parquet(feed)
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(feed)
+    arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
     start(operation_delta_stream(arriving), folder, scratch_folder(spark, "news-state")).awaitTermination()
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+@bound(
+    "win3_null_and_empty_names",
+    _FEED.replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1).replace(
+        "FROM polls p JOIN poll_list", "FROM renamed p JOIN poll_list").replace(
+        "poll_list AS (", """renamed AS (SELECT CASE WHEN length(name) = 4 THEN '=null' WHEN length(name) = 5 THEN '' ELSE name END AS name,
+    poll_id * 1000000 + row_number() OVER (PARTITION BY poll_id ORDER BY name) AS poll_id, poll_ms + row_number() OVER (PARTITION BY poll_id ORDER BY name) AS poll_ms,
+    status, start_time, insert_time FROM polls),
+poll_list AS (""").replace("(SELECT DISTINCT poll_id, poll_ms FROM polls)", "(SELECT DISTINCT poll_id, poll_ms FROM renamed)").replace(
+        "SELECT o.name, o.poll_id", "SELECT nullif(o.name, '=null') AS name, o.poll_id"),
+)
+def win3_null_and_empty_names(spark, sf_dir):
+    """Names merged into NULL, the empty name and others, each row a poll of its own."""
+    place = F.row_number().over(Window.partitionBy("poll_id").orderBy("name"))
+    name = F.when(F.length("name") == 4, F.lit(None)).when(F.length("name") == 5, "").otherwise(F.col("name"))
+    renamed = polls(spark, sf_dir).withColumn("_place", place).select(
+        name.alias("name"), (F.col("poll_id") * 1_000_000 + F.col("_place")).alias("poll_id"),
+        (F.col("poll_ms") + F.col("_place")).alias("poll_ms"), "status", "start_time", "insert_time")
+    return operation_delta(with_cutoff(renamed, span=100_000_000), span=8_000_000).select(*_FEED_COLUMNS)
+
+
+@bound("str2_operation_delta_stream", _FEED)
+def str2_operation_delta_stream(spark, sf_dir):
+    """The polls arrive in three periods of time; entries outlive their batch."""
+    return _streamed_feed(spark, sf_dir, ((0, _TENTH), (_TENTH, _TWENTIETH), (_TWENTIETH, _END)))
+
+
+@bound(
+    "str2_late_polls",
+    _FEED.replace(
+        "PARTITION BY name ORDER BY poll_id) AS rn",
+        f"PARTITION BY name ORDER BY CASE WHEN poll_id >= {_TWENTIETH} THEN 2 WHEN poll_id < {_TENTH} THEN 1 ELSE 0 END, "
+        "poll_id) AS rn",
+    ),
+)
+def str2_late_polls(spark, sf_dir):
+    """The first period arrives after the second: late by days, and none of its rows is lost."""
+    return _streamed_feed(spark, sf_dir, ((_TENTH, _TWENTIETH), (0, _TENTH), (_TWENTIETH, _END)))
+
+
+def _updates(spark, purpose: str, stream, keys: list[str]):
+    """The last row per key that a query in update mode gave over all its batches."""
+    out = scratch_folder(spark, purpose)
+
+    def store(batch, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(store)
+    state = scratch_folder(spark, f"{purpose}-state")
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.option("basePath", out).parquet(out)
+    kept = F.struct(*stream.columns)
+    return stored.groupBy(*keys).agg(F.max_by(kept, "batch").alias("_last")).select("_last.*")
+
+
+@bound(
+    "str4_latest_operation_stream",
+    f"""WITH {POLLS} SELECT name, poll_id, poll_ms, status FROM polls
+    QUALIFY row_number() OVER (PARTITION BY name ORDER BY poll_id DESC) = 1""",
+)
+def str4_latest_operation_stream(spark, sf_dir):
+    """The polls arrive in three batches, the last period first."""
+    feed = scratch_folder(spark, "live-polls")
+    rows = polls(spark, sf_dir).select("name", "poll_id", "poll_ms", "status")
+    for earliest, latest in ((_TWENTIETH, _END), (0, _TENTH), (_TENTH, _TWENTIETH)):
+        rows.filter(F.col("poll_id").between(earliest, latest - 1)).repartition(_FILES).write.mode("append").parquet(feed)
+    arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
+    return _updates(spark, "latest", latest_operation_stream(arriving, ["poll_id"]), ["name"])
+
+
 @bound(
     "srt1_recent_operations",
     f"WITH {OPERATIONS} SELECT name, insert_time, status FROM operations ORDER BY insert_time DESC, o_orderkey DESC LIMIT 50",
@@ -133,6 +202,16 @@ def srt1_recent_operations(spark, sf_dir):
     return recent.select("name", "insert_time", "status")
 
 
+@bound(
+    "srt1_many_recent_operations_by_type",
+    f"""WITH {OPERATIONS} SELECT optype, name, CAST(row_number() OVER (PARTITION BY optype ORDER BY insert_time DESC, o_orderkey DESC) AS INTEGER) AS position
+    FROM operations QUALIFY position <= 2500""",
+)
+def srt1_many_recent_operations_by_type(spark, sf_dir):
+    recent = recent_operations(operations(spark, sf_dir), ["insert_time", "o_orderkey"], 2500, by="optype")
+    return recent.select("optype", "name", "position")
+
+
 @bound(
     "srt1_recent_operations_by_type",
     f"""WITH {OPERATIONS} SELECT optype, name, insert_time, status,

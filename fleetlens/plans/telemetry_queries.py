@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetlens.functions.measures import register_measure_format
 from fleetlens.functions.times import wall_millis
 from fleetlens.operators.keyspace import TEST_RUN_PROPORTIONS
 from fleetlens.operators.lines import split_lines
 from fleetlens.operators.telemetry import (
+    arrival,
     measure_wide,
     node_error_text,
     node_series,
@@ -28,6 +30,9 @@ from fleetlens.sources.node_output import read_node_output
 from fleetlens.streaming.measures import measure_stream, start
 
 HOUR = 3_600_000
+FAILED = "command failed"
+# Which lines the measures of views.MEASURES are, for lines that have other places than those.
+_IS_MEASURE = "EXISTS (SELECT 1 FROM (SELECT DISTINCT line FROM known) k WHERE k.line = a.line)"
 
 
 def _measures(spark, sf_dir) -> DataFrame:
@@ -38,6 +43,14 @@ def _latency(col: str = "avg_latency"):
     return F.round(F.col(col).cast("double"), 4).alias(col)
 
 
+def _shown_series(series: DataFrame) -> DataFrame:
+    def shown(p):
+        milliseconds = F.round(p["x"] * 1000).cast("long").cast("string")
+        return F.concat(milliseconds, F.lit(":"), p["y"].cast("int").cast("string"))
+
+    return series.withColumn("points", F.array_join(F.transform("points", shown), " "))
+
+
 def _written_lines(spark, sf_dir) -> str:
     """Node output as files, one folder per node, lines in order."""
     folder = scratch_folder(spark, "node-output")
@@ -46,9 +59,96 @@ def _written_lines(spark, sf_dir) -> str:
     return folder
 
 
-@bound("src1_read_node_output", f"WITH {NODE_LINES} SELECT node, line FROM node_lines")
+# The same lines in three files per node, one after the other; nodes with an odd number fail in the second one.
+_ROLLED = f"""WITH {MEASURES},
+known AS (SELECT line FROM measures),
+bounds AS (SELECT min(seq) AS low, max(seq) AS high FROM node_lines),
+rolled AS (
+  SELECT node, line, 2 * seq AS turn, 3 * (seq - low) // (high - low + 1) AS file, false AS failed FROM node_lines, bounds
+  UNION ALL SELECT DISTINCT node, '{FAILED}', 2 * ((low + high) // 2) + 1, 1, true FROM node_lines, bounds
+  WHERE node IN ('node-1', 'node-3')),
+arrived AS (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY turn) - 1 AS place,
+    row_number() OVER (PARTITION BY node, file ORDER BY turn) - 1 AS seq,
+    coalesce(max(failed) OVER (PARTITION BY node ORDER BY turn), false) AS after
+  FROM rolled)"""
+
+
+def _rolled_lines(spark, sf_dir) -> str:
+    folder = scratch_folder(spark, "rolled-output")
+    lines = node_lines(spark, sf_dir)
+    low, high = lines.agg(F.min("seq"), F.max("seq")).first()
+    marks = lines.filter(F.col("node").isin("node-1", "node-3")).select("node").distinct().select(
+        "node", F.lit(2 * ((low + high) // 2) + 1).alias("at"), F.lit(FAILED).alias("line"))
+    part = F.call_function("div", 3 * (F.col("seq") - low), F.lit(high - low + 1))
+    rolled = lines.select("node", (2 * F.col("seq")).alias("at"), "line", part.alias("part")).unionByName(
+        marks.withColumn("part", F.lit(1)))
+    for number in range(3):
+        file = rolled.filter(F.col("part") == number).repartition("node").sortWithinPartitions("node", "at")
+        file.select("node", "line").write.mode("append").partitionBy("node").text(folder)
+    return folder
+
+
+def _place(df: DataFrame):
+    """Place among the lines of a node, for the comparison with SQL."""
+    return (F.row_number().over(Window.partitionBy("node").orderBy(*arrival(df))) - 1).cast("long")
+
+
+@bound("src1_read_node_output", f"{_ROLLED} SELECT node, place, line FROM arrived")
 def src1_read_node_output(spark, sf_dir):
-    return read_node_output(spark, _written_lines(spark, sf_dir)).select("node", "line")
+    """Three files per node, split over tasks."""
+    lines = read_node_output(spark, _rolled_lines(spark, sf_dir))
+    return lines.select("node", _place(lines).alias("place"), "line")
+
+
+def _rolled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Whole files, so that ``seq`` does not depend on splits, and where each failed node failed."""
+    lines = read_node_output(spark, _rolled_lines(spark, sf_dir), whole_files=True)
+    failed = lines.filter(F.col("line") == FAILED).groupBy("node")
+    return lines, failed.agg(F.min(F.struct(*arrival(lines))).alias("failed_from"))
+
+
+def _numbered(parts: DataFrame) -> DataFrame:
+    """Files by their place in the node."""
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy("file_time", "file")) - 1
+    return parts.withColumn("file", place.cast("long")).drop("file_time", "split")
+
+
+@bound(
+    "prj2_split_rolled_files",
+    f"""{_ROLLED} SELECT a.node, a.file, a.seq, a.line, {_IS_MEASURE} AND NOT after AS measure FROM arrived a""",
+)
+def prj2_split_rolled_files(spark, sf_dir):
+    lines, failures = _rolled(spark, sf_dir)
+    measures, rejects = split_rejects(lines, failures)
+    known = lines.join(measures.select("node", "file", "seq"), ["node", "file", "seq"], "left_semi")
+    both = known.withColumn("measure", F.lit(True)).unionByName(rejects.withColumn("measure", F.lit(False)))
+    return _numbered(both).select("node", "file", "seq", "line", "measure")
+
+
+@bound(
+    "agg2_error_text_rolled_files",
+    f"""{_ROLLED} SELECT a.node, a.file, a.seq // 256 AS part, string_agg(a.line, '' ORDER BY a.seq) AS error_text,
+      count(*) AS lines
+    FROM arrived a WHERE node IN ('node-1', 'node-3') AND (after OR NOT {_IS_MEASURE}) GROUP BY ALL""",
+)
+def agg2_error_text_rolled_files(spark, sf_dir):
+    lines, failures = _rolled(spark, sf_dir)
+    _, rejects = split_rejects(lines, failures)
+    return _numbered(node_error_text(rejects, failures.select("node", F.lit(1).alias("exit_status"))))
+
+
+@bound(
+    "agg3_series_rolled_files",
+    f"""{_ROLLED} SELECT a.node, a.file, a.seq // 512 AS part,
+      string_agg(trim(split_part(a.line, ',', 2)) || ':' ||
+        CASE WHEN contains(a.line, '[INSERT]') THEN trim(split_part(a.line, ',', 4), ' ' || chr(9)) ELSE '0' END, ' ' ORDER BY a.seq) AS points
+    FROM arrived a WHERE NOT after AND {_IS_MEASURE} GROUP BY ALL""",
+)
+def agg3_series_rolled_files(spark, sf_dir):
+    lines, failures = _rolled(spark, sf_dir)
+    measures, _ = split_rejects(lines, failures)
+    return _numbered(_shown_series(node_series(measures, "ops", points_per_part=512)))
 
 
 @bound(
@@ -197,12 +297,7 @@ def agg3_series_points(spark, sf_dir):
     FROM measures GROUP BY node, seq // 512""",
 )
 def agg3_node_series(spark, sf_dir):
-    def shown(p):
-        milliseconds = F.round(p["x"] * 1000).cast("long").cast("string")
-        return F.concat(milliseconds, F.lit(":"), p["y"].cast("int").cast("string"))
-
-    series = node_series(_measures(spark, sf_dir), "ops", points_per_part=512)
-    return series.withColumn("points", F.array_join(F.transform("points", shown), " "))
+    return _shown_series(node_series(_measures(spark, sf_dir), "ops", points_per_part=512))
 
 
 def _throughput_sql(window_ms: int) -> str:
@@ -237,17 +332,15 @@ def ran1_throughput_stream(spark, sf_dir):
 
 @bound(
     "str1_measure_stream",
-    f"""WITH {MEASURES}, placed AS (
-      SELECT node, seq, row_number() OVER (PARTITION BY node ORDER BY seq) - 1 AS place FROM node_lines)
-    SELECT m.node, p.place AS seq, time, op, ops, round(CAST(avg_latency AS DOUBLE), 4) AS avg_latency
-    FROM measures m JOIN placed p ON p.node = m.node AND p.seq = m.seq""",
+    f"WITH {MEASURES} SELECT node, time, op, ops, round(CAST(avg_latency AS DOUBLE), 4) AS avg_latency FROM measures",
 )
 def str1_measure_stream(spark, sf_dir):
+    """Files are split in streams as well."""
     measures = measure_stream(spark, _written_lines(spark, sf_dir), max_files_per_trigger=2)
     folder, checkpoint = scratch_folder(spark, "measures"), scratch_folder(spark, "measures-state")
     start(measures, folder, checkpoint).awaitTermination()
     stored = spark.read.schema(measures.schema).parquet(folder)
-    return stored.select("node", "seq", "time", "op", "ops", _latency())
+    return stored.select("node", "time", "op", "ops", _latency())
 
 
 @bound(

@@ -10,15 +10,30 @@ from fleetlens.functions.text import after_last
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``name``, ``length``, ``modified``, ``digest`` of the files under ``path``, in natural order of name.
+    """``folder``, ``name``, ``length``, ``modified``, ``digest`` of the files under ``path``, in natural order of name.
 
-    Contents are digested in the tasks that read them; only the digests are sorted. Spark's file sources skip
-    empty files, so these have no row.
+    Contents are digested in the tasks that read them; only the digests are sorted. Spark's file sources read no
+    empty files, so these are taken from the listing that the driver holds anyway.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        after_last(F.col("path"), "/").alias("name"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-        md5_number(F.col("content")).alias("digest"),
-    ).orderBy("name")
+    read = {r["path"] for r in files.select("path").collect()} if (listed := files.inputFiles()) else set()
+    rows = []
+    for name in listed:
+        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        if file.toString() not in read:
+            status = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file)
+            rows.append((file.toString(), status.getLen(), status.getModificationTime()))
+    empty = spark.createDataFrame(rows, "path string, length bigint, ms bigint").select(
+        "path", "length", F.timestamp_millis("ms").alias("modificationTime"), F.lit(b"").alias("content")
+    )
+    return (
+        files.unionByName(empty)
+        .select(
+            after_last(F.regexp_extract("path", "^(.*)/[^/]*$", 1), "/").alias("folder"),
+            after_last(F.col("path"), "/").alias("name"),
+            "length",
+            F.col("modificationTime").alias("modified"),
+            md5_number(F.col("content")).alias("digest"),
+        )
+        .orderBy("name", "folder")
+    )

@@ -5,54 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.text import MAX_LINE_CHARS, after_last, cut_line
+from fleetlens.functions.text import after_last, line_array
 from fleetlens.operators.lines import split_lines
 
 # The node is the folder that a file lies in; a `node=` before it, as partitioned writers put it, is no part of it.
 _NODE = r"([^/=]+)/[^/]+$"
 _ROW_IN_TASK = (1 << 33) - 1
 
+# Files that one batch of a stream takes unless told otherwise.
+MAX_FILES_PER_TRIGGER = 256
+
 
 def read_node_output(
     spark: SparkSession,
     path: str,
     streaming: bool = False,
     whole_files: bool = False,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = MAX_FILES_PER_TRIGGER,
 ) -> DataFrame:
-    """Lines of every node: ``node``, ``file``, ``seq``, ``piece``, ``line``, from ``<path>/<node>/<file>``.
+    """Lines of every node: ``node``, ``file_time``, ``file``, ``split``, ``seq``, ``piece``, ``line``, from
+    ``<path>/<node>/<file>``.
+
+    A node's lines arrived in the order of all columns between ``node`` and ``line`` (``ARRIVAL`` of the telemetry
+    operators): its files by the time they were last written, then by name.
 
-    ``seq`` (with ``piece`` for the pieces of a line over 1 MiB) orders the lines of a file. Rolled files of a
-    node sort by name.
+    Files of any size are split over tasks, in streams as well: ``split`` is the byte at which a split starts and
+    ``seq`` the row's place in its task, which rises along the split whatever else the task reads. ``piece`` counts
+    what a row holds between CRs, and the pieces of a line over 1 MiB. LF and CR each end a line, so CR LF leaves an
+    empty line in between. A file that ends with a CR alone has an empty last line here.
 
-    Files of any size are split over tasks: ``seq`` is then twice the byte at which the split starts plus the
-    row's place in its task. It rises along the file, because a split has no more lines than bytes. CR LF
-    counts as one break here, so the empty line between the two does not appear; it is neither a measure nor
-    adds to error text.
+    Spark numbers no rows of a stream, so ``seq`` is NULL there unless files are read whole.
 
-    ``whole_files`` reads each file as one row and numbers its lines from 0, with that empty line. Streams
-    always read so; their files must be rolled small.
+    ``whole_files`` reads each file as one row and numbers its lines from 0 in ``seq``; for small files only.
     """
-    source = "_metadata.file_path"
-    if streaming or whole_files:
-        reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", True)
-        if streaming and max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        texts = reader.text(path, wholetext=True).select(F.url_decode(source).alias("_path"), "value")
-        lines = split_lines(texts, "value").withColumnRenamed("line_no", "seq").withColumn("piece", F.lit(0))
+    reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", True)
+    if streaming:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    source = [
+        F.url_decode("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_modification_time").alias("file_time"),
+    ]
+    if whole_files:
+        texts = reader.text(path, wholetext=True).select(*source, "value")
+        lines = split_lines(texts, "value").select(
+            "*", F.lit(0).cast("long").alias("split"), F.col("line_no").alias("seq"), F.lit(0).alias("piece")
+        )
     else:
-        rows = spark.read.option("recursiveFileLookup", True).text(path)
         place = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK))
-        numbered = rows.select(
-            F.url_decode(source).alias("_path"),
-            (F.col("_metadata.file_block_start") * 2 + place).alias("seq"),
-            "value",
+        rows = reader.text(path, lineSep="\n").select(
+            *source,
+            F.col("_metadata.file_block_start").alias("split"),
+            (F.lit(None) if streaming else place).alias("seq"),
+            line_array(F.col("value")).alias("_pieces"),
         )
-        pieces = F.when(F.length("value") < MAX_LINE_CHARS, F.array("value")).otherwise(cut_line(F.col("value")))
-        lines = numbered.select("_path", "seq", F.posexplode(pieces).alias("piece", "line"))
+        lines = rows.select("_path", "file_time", "split", "seq", F.posexplode("_pieces").alias("piece", "line"))
     return lines.select(
         F.regexp_extract("_path", _NODE, 1).alias("node"),
+        "file_time",
         after_last(F.col("_path"), "/").alias("file"),
+        F.col("split").cast("long").alias("split"),
         F.col("seq").cast("long").alias("seq"),
         "piece",
         "line",

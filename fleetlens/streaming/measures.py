@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators.telemetry import parse_measures
-from fleetlens.sources.node_output import read_node_output
+from fleetlens.sources.node_output import MAX_FILES_PER_TRIGGER, read_node_output
 
 # How often measures, and operations with role counts, are fetched.
 MEASURE_PERIOD = "1 second"
@@ -14,7 +14,7 @@ OPERATION_PERIOD = "4 seconds"
 
 
 def measure_stream(
-    spark: SparkSession, path: str, fmt: str = "bracketed", max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, fmt: str = "bracketed", max_files_per_trigger: int = MAX_FILES_PER_TRIGGER
 ) -> DataFrame:
     """Measures of all nodes as their files arrive. Each query has its own checkpoint and sees all of them."""
     lines = read_node_output(spark, path, streaming=True, max_files_per_trigger=max_files_per_trigger)

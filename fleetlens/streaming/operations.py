@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from fleetlens.functions.times import DAY_MS
 from fleetlens.operators.change_feed import observation_facts
-from fleetlens.operators.inventory import role_counts
+from fleetlens.operators.inventory import node_liveness, role_counts
+from fleetlens.session import ship_package
 
 _STATE = "status string, at bigint"
+# Files of polls that one batch takes unless told otherwise.
+MAX_FILES_PER_TRIGGER = 64
+# Timestamps travel as text of full precision.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def read_polls(
+    spark: SparkSession, path: str, schema: str | StructType, max_files_per_trigger: int = MAX_FILES_PER_TRIGGER
+) -> DataFrame:
+    """A stream of polls from Parquet files. The limit on files bounds what a task sees of a name in a backlog."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
 def _news(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The feed rule for one name: its cached entry is the state, its rows of this batch go by poll."""
-    if state.hasTimedOut:
-        state.remove()
-        return
     entry = state.get if state.exists else None
     rows = pd.concat(list(frames)).sort_values("poll_id", kind="stable")
     news = []
@@ -34,22 +44,24 @@ def _news(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         if news[-1] and row.status != "DONE":
             # an entry without a readable time would be forgotten before its next use
             entry = None if pd.isna(row.at) else (row.status, int(row.at))
-    watermark = state.getCurrentWatermarkMs()
-    if entry and entry[1] + DAY_MS >= watermark:
+    if entry:
         state.update(entry)
-        state.setTimeoutTimestamp(entry[1] + DAY_MS + 1)
     elif state.exists:
         state.remove()
     yield rows.loc[news, ["payload"]]
 
 
-def operation_delta_stream(polls: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """``operation_delta`` over a stream of polls in time order, with one small state row per name.
+def operation_delta_stream(polls: DataFrame) -> DataFrame:
+    """``operation_delta`` over a stream of polls, with one small state row per name.
 
-    ``polls`` has the columns that ``operation_delta`` takes. Within a batch a name has one row per poll, so a
-    limit on files per trigger bounds what a task sees of it. An entry is forgotten when its name is next seen
-    24 hours on; the timeout only clears names that are not seen again.
+    ``polls`` has the columns that ``operation_delta`` takes. Rows are decided in order of arrival: by batch, and by
+    poll within a batch. A poll that arrives late is decided by the entry that it then finds; no row is lost. Within
+    a batch a name has one row per poll, so a limit on files per trigger (``read_polls``) bounds what a task sees of
+    it. An entry is forgotten when its name is next seen 24 hours on. There is no timeout: one by event time would
+    discard late rows, and one by processing time would keep a run over what is there from ending. So a name that
+    is not seen again keeps one small row of state, on disk.
     """
+    ship_package(polls.sparkSession)
     facts = observation_facts(polls).select(
         "name",
         "poll_id",
@@ -58,17 +70,38 @@ def operation_delta_stream(polls: DataFrame, delay: str = "10 minutes") -> DataF
         F.col("_hit").alias("hit"),
         F.col("_at").cast("string").alias("at"),  # text, as a missing number would turn into a float in pandas
         F.col("cutoff_ms").isNull().alias("sends_all"),
-        F.to_json(F.struct(*polls.columns)).alias("payload"),
-        F.timestamp_millis("poll_ms").alias("ts"),
+        F.to_json(F.struct(*polls.columns), _EXACT).alias("payload"),
     )
-    news = (
-        facts.withWatermark("ts", delay)
-        .groupBy("name")
-        .applyInPandasWithState(_news, "payload string", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # a NULL name is a name of its own, apart from the empty one
+    news = facts.groupBy("name").applyInPandasWithState(
+        _news, "payload string", _STATE, "append", GroupStateTimeout.NoTimeout
     )
-    return news.select(F.from_json("payload", polls.schema).alias("_p")).select("_p.*")
+    return news.select(F.from_json("payload", polls.schema, _EXACT).alias("_p")).select("_p.*")
+
+
+def role_counts_stream(
+    polled_instances: DataFrame, instant: str | None = None, delay: str = "1 day"
+) -> DataFrame:
+    """``role_counts`` of each poll (``poll_id``), for a query in update mode.
+
+    With ``instant``, a timestamp column that is the same for all rows of a poll, the state of a poll ends once the
+    watermark has passed it; its rows that come even later no longer count. Without, every poll is kept.
+    """
+    if instant is None:
+        return role_counts(polled_instances, by=["poll_id"])
+    return role_counts(polled_instances.withWatermark(instant, delay), by=["poll_id", instant])
+
+
+def latest_operation_stream(events: DataFrame, arrival: Sequence[str], name: str = "name") -> DataFrame:
+    """``latest_operation`` live, for a query in update mode: the newest message of a name whenever one arrives. One
+    state row per name."""
+    message = F.struct(*(c for c in events.columns if c != name))
+    newest = events.groupBy(name).agg(F.max_by(message, F.struct(*arrival)).alias("_newest"))
+    return newest.select(name, "_newest.*").select(*events.columns)
 
 
-def role_counts_stream(polled_instances: DataFrame) -> DataFrame:
-    """``role_counts`` of each poll (``poll_id``), for a query in update mode."""
-    return role_counts(polled_instances, by=["poll_id"])
+def node_liveness_stream(
+    states: DataFrame, order: Sequence[str], by: str = "node", alive: str = "alive"
+) -> DataFrame:
+    """``node_liveness`` live, for a query in update mode: the last known state of each node. One state row per node."""
+    return node_liveness(states, order, by, alive)

@@ -216,7 +216,7 @@ def test_links_in_lists_keep_their_places(spark):
     lookup = spark.createDataFrame(LOOKUP, "name string, link string, listing_pos long")
     rows = [(1, ["n2", "n1", "?", "n1"]), (2, []), (3, None), (4, [None, "n1"])]
     df = spark.createDataFrame(rows, "id int, networks array<string>")
-    got = resolve_links_array(df, "networks", lookup, "id").orderBy("id").collect()
+    got = resolve_links_array(df, "networks", lookup).orderBy("id").collect()
     assert [r.networks for r in got] == [["other", "first", "?", "first"], [], None, [None, "first"]]
 
 

@@ -18,7 +18,7 @@ from fleetlens.operators.operations import (
 from fleetlens.operators.sequences import with_previous
 from fleetlens.session import scratch_folder
 from fleetlens.streaming.measures import start
-from fleetlens.streaming.operations import operation_delta_stream
+from fleetlens.streaming.operations import operation_delta_stream, read_polls
 
 T0 = 1_700_000_000_000
 POLLS = "poll_id long, poll_ms long, name string, status string, start_time string, insert_time string"
@@ -153,6 +153,38 @@ def test_stream_of_polls_equals_batch(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_late_polls_come_out_whole_and_unchanged(spark):
+    """A file that arrives hours late loses no row, and microseconds survive the way through Python."""
+    rows = [(10, 10, "a", 0), (20, 20, "b", 0), (1, 1, "c", 0)]
+    folder, out = scratch_folder(spark, "polls"), scratch_folder(spark, "news")
+    for poll, hours, name, _ in rows:
+        one = spark.createDataFrame(
+            [(poll, hours * 3_600_000, None, name, "RUNNING", None, None)],
+            "poll_id long, poll_ms long, cutoff_ms long, name string, status string, start_time string, insert_time string",
+        ).withColumns({"seen": F.lit("2024-01-01 00:00:00.123456").cast("timestamp"),
+                       "local": F.lit("2024-01-01 00:00:00.654321").cast("timestamp_ntz")})
+        one.coalesce(1).write.mode("append").parquet(folder)
+    query = start(operation_delta_stream(read_polls(spark, folder, one.schema, 1)), out, scratch_folder(spark, "state"))
+    query.awaitTermination()
+    got = spark.read.schema(one.schema).parquet(out)
+    assert sorted(r.poll_id for r in got.collect()) == [1, 10, 20]
+    assert got.filter("date_format(seen, 'SSSSSS') = '123456' and cast(local as string) like '%.654321'").count() == 3
+
+
+def test_null_and_empty_names_have_their_own_history(spark):
+    schema = "poll_id long, poll_ms long, cutoff_ms long, name string, status string, start_time string, insert_time string"
+    iso = "1970-01-01T00:00:00.000Z"
+    rows = [(1, 1000, None, None, "PENDING", None, iso), (2, 2000, 1000, "", "QUEUED", None, iso)]
+    assert [r.poll_id for r in operation_delta(spark.createDataFrame(rows, schema)).collect()] == [1]
+
+
+def test_many_recent_operations_take_the_same_plan(spark):
+    rows = spark.range(6000).selectExpr("id", "id % 2 as kind")
+    for n in (3, 2500):
+        got = recent_operations(rows, ["id"], n, by="kind").collect()
+        assert sorted((r.kind, r.position, r.id) for r in got) == [(k, p, 6000 + k - 2 * p) for k in (0, 1) for p in range(1, n + 1)]
+
+
 @pytest.mark.parametrize("span", [1, 3, 1000])
 def test_previous_value_crosses_segments(spark, span):
     rng = random.Random(span)

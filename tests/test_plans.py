@@ -8,9 +8,9 @@ from fleetlens.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # These run jobs of their own before they give a result.
-EAGER = re.compile("src1_|src3_|snk1_|str|prj6_|_stream$")
+EAGER = re.compile("^(src1_|src3_|src4_|snk1_|str|prj6_)|_stream$|_rolled_files$")
 # One row per operation type, shard, distinct count and segment of polls reach these windows.
-SMALL_WINDOWS = {"ran2_op_mix", "ran4_shard_balance", "ran5_key_skew", "win3_operation_delta"}
+SMALL_WINDOWS = {"ran2_op_mix", "ran4_shard_balance", "ran5_key_skew", "win3_operation_delta", "win3_null_and_empty_names"}
 
 
 def plan_lines(df):

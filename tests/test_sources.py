@@ -8,7 +8,16 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators.telemetry import node_error_text, parse_measures, split_rejects, throughput, throughput_stream
+from fleetlens.operators.telemetry import (
+    ARRIVAL,
+    arrival,
+    node_error_text,
+    node_series,
+    parse_measures,
+    split_rejects,
+    throughput,
+    throughput_stream,
+)
 from fleetlens.session import scratch_folder
 from fleetlens.sources.files import file_digests
 from fleetlens.sources.messages import messages, read_messages, write_messages
@@ -35,8 +44,28 @@ def test_lines_of_nodes(spark, tmp_path):
         ("n 2", "out.log", 0, "d"),
         ("n 2", "out.log", 1, "e"),
     ]
-    split = read_node_output(spark, str(tmp_path)).orderBy("node", "file", "seq").collect()
-    assert [(r.node, r.line) for r in split] == [(r.node, r.line) for r in whole if r.line]
+    split = read_node_output(spark, str(tmp_path)).orderBy("node", *ARRIVAL).collect()
+    assert [(r.node, r.line) for r in split] == [(r.node, r.line) for r in whole]
+
+
+def test_files_of_a_node_in_the_order_they_were_written(spark, tmp_path):
+    """Names cross from 9 to 10; the command fails in the first file, so nothing of the second is a measure."""
+    for n in (8, 9, 10):
+        write(tmp_path, "n", f"{n}.log", f"[READ], {n}, 1, 1\n" + ("boom\n" if n == 9 else ""))
+        os.utime(f"{tmp_path}/n/{n}.log", (1_700_000_000 + n, 1_700_000_000 + n))
+    for whole in (False, True):
+        lines = read_node_output(spark, str(tmp_path), whole_files=whole)
+        assert [r.line for r in lines.orderBy(*ARRIVAL).collect()] == ["[READ], 8, 1, 1", "[READ], 9, 1, 1", "boom", "[READ], 10, 1, 1"]
+        failures = lines.filter("line = 'boom'").groupBy("node").agg(F.min(F.struct(*arrival(lines))).alias("failed_from"))
+        measures, rejects = split_rejects(lines, failures)
+        assert sorted(r.time for r in measures.collect()) == [8, 9]
+        status = spark.createDataFrame([("n", 1)], "node string, exit_status int")
+        parts = node_error_text(rejects, status).orderBy("file_time", "file", "split", "part").collect()
+        assert "".join(p.error_text for p in parts) == "boom[READ], 10, 1, 1"
+        series = node_series(parse_measures(lines), op="READ").orderBy("file_time", "file", "split", "part").collect()
+        assert [p.x for s in series for p in s.points] == [0.008, 0.009, 0.01]
+        with pytest.raises(ValueError):
+            split_rejects(lines, spark.createDataFrame([("n", 1)], "node string, failed_from long"))
 
 
 def test_order_of_a_file_over_many_splits(spark, tmp_path):
@@ -52,11 +81,11 @@ def test_order_of_a_file_over_many_splits(spark, tmp_path):
             spark.conf.set(k, v)
         read = read_node_output(spark, str(tmp_path))
         assert read.rdd.getNumPartitions() > 10
-        got = read.filter("node = 'big'").orderBy("seq", "piece").collect()
-        assert [r.line for r in got] == lines and len({r.seq for r in got}) == len(lines)
+        got = read.filter("node = 'big'").orderBy(*ARRIVAL).collect()
+        assert [r.line for r in got] == lines and len({(r.split, r.seq) for r in got}) == len(lines)
         _, rejects = split_rejects(read)
         status = spark.createDataFrame([("big", 2)], "node string, exit_status int")
-        parts = node_error_text(rejects, status, per=("node", "file"), order=("seq", "piece")).orderBy("part").collect()
+        parts = node_error_text(rejects, status).orderBy("file_time", "file", "split", "part").collect()
         assert "".join(p.error_text for p in parts) == "".join(lines) and max(p.lines for p in parts) <= 256
     finally:
         for k, v in before.items():
@@ -71,7 +100,7 @@ def test_long_lines_come_in_pieces(spark, tmp_path):
 
 
 def test_digests_of_files(spark, tmp_path):
-    contents = {"b.pp": b"two", "a.pp": b"\n", "c.pp": bytes(range(256))}
+    contents = {"b.pp": b"two", "a.pp": b"\n", "c.pp": bytes(range(256)), "empty one.pp": b""}
     for name, content in contents.items():
         (tmp_path / name).write_bytes(content)
     rows = file_digests(spark, f"{tmp_path}/*.pp").collect()
@@ -125,8 +154,8 @@ def test_stream_of_measures_equals_batch(spark, tmp_path):
     out, text_out = scratch_folder(spark, "out"), scratch_folder(spark, "text")
     start(measures, out, scratch_folder(spark, "state")).awaitTermination()
     got = spark.read.schema(measures.schema).parquet(out)
-    batch = parse_measures(read_node_output(spark, str(tmp_path), whole_files=True))
-    assert got.count() == len(want) and got.exceptAll(batch).count() == 0
+    batch = parse_measures(read_node_output(spark, str(tmp_path)))
+    assert got.count() == len(want) and got.drop("seq").exceptAll(batch.drop("seq")).count() == 0
     # a second query has its own checkpoint and sees everything again
     write_messages(measures, "measure", text_out, checkpoint=scratch_folder(spark, "state")).awaitTermination()
     assert read_messages(spark, text_out, "measure").count() == len(want)
@@ -163,11 +192,12 @@ def test_periods():
     assert (MEASURE_PERIOD, OPERATION_PERIOD) == ("1 second", "4 seconds")
 
 
-def test_scratch_folder_is_the_shared_one():
-    """``spark.checkpoint.dir`` is set once for a session, so a session is stood in for here."""
-    cluster = SimpleNamespace(master="spark://host:7077", getConf=dict)
-    unset = SimpleNamespace(conf={}, sparkContext=cluster)
-    shared = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://shared/"}, sparkContext=cluster)
-    assert scratch_folder(shared, "x").startswith("hdfs://shared/x-")
-    with pytest.raises(ValueError):
-        scratch_folder(unset, "x")
+def test_scratch_folder_is_the_shared_one(spark):
+    """The same on every master: the named folder, or else one beside the shared tables."""
+    namespace = SimpleNamespace
+    for master in ("local[2]", "spark://host:7077"):
+        context = namespace(master=master, getConf=dict)
+        named = namespace(conf={"spark.checkpoint.dir": "hdfs:///c/"}, sparkContext=context)
+        assert scratch_folder(named, "x").startswith("hdfs:///c/x-")
+        unset = namespace(conf={"spark.sql.warehouse.dir": "hdfs:///w"}, sparkContext=context)
+        assert scratch_folder(unset, "x").startswith("hdfs:///w/scratch/x-")
