@@ -12,7 +12,8 @@ linked into groups:
 1. and 2. in each bucket that still holds several groups, one member against the others (first the first quarter of
    the bands, then the rest), which joins the bulk of any group of copies with as many pairs as members;
 3. in the buckets that still hold several groups, all members outside the largest group against all of the bucket, so
-   that no link between two groups is left out. A pair is proposed only by the first band that it shares.
+   that no link between two groups is left out. A pair is compared only in the first band that it shares, and not at
+   all once its groups are joined; sets are compared where the rows meet, and only links come out.
 
 So pairs within a group that is already joined are never made. Buckets of any size are cut into blocks.
 
@@ -222,55 +223,86 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _propose(star: bool, percent: int):
+def _bounds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+    starts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1])
+    return starts, np.append(starts[1:], ids.shape[1])
+
+
+def _propose(percent: int):
+    """Pairs of the first row of each block (rows come in the order of their hash) with the others."""
+
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups_of(batches):
-            table = table.combine_chunks()
-            ids = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-            starts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1])
-            ends = np.append(starts[1:], ids.shape[1])
+            starts, ends = _bounds(table)
             reps, labels = table.column("rep").to_numpy(), table.column("group").to_numpy()
-            sizes, bands = table.column("n_shingles").to_numpy(), table.column("band").to_numpy()
-            side = table.column("side").to_numpy()
+            sizes = table.column("n_shingles").to_numpy()
             registers = _registers(table.column("sketch").combine_chunks())
+            hub = np.repeat(starts, ends - starts)
+            rows = np.flatnonzero(labels != labels[hub])
+            for at in range(0, len(rows), 4096):
+                x, y = rows[at : at + 4096], hub[rows[at : at + 4096]]
+                fits = plausible(registers[x], registers[y], sizes[x], sizes[y], percent)
+                x, y = reps[x[fits]], reps[y[fits]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return propose
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets, sorted, share enough of their union."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-            def keep(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                some = labels[x] != labels[y]
-                x, y = x[some], y[some]
-                if not star and len(x):
-                    # both sides hold a member outside the largest group: the pair is made once
-                    once = (side_twin[x] != 1) | (side_twin[y] != 1) | (reps[x] < reps[y])
-                    x, y = x[once], y[once]
-                    shared = (registers[x] == registers[y]).reshape(len(x), BANDS, ROWS).all(2)
-                    first = shared.argmax(1) == bands[x]
-                    x, y = x[first], y[first]
-                if len(x):
+
+def _settle(percent: int):
+    """Confirmed links between groups: in each block, rows outside the bucket's largest group against its rows. A pair
+    whose groups a link of this block has joined already is skipped, so at most one link per row comes out."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups_of(batches):
+            table = table.combine_chunks()
+            found: list[tuple] = []
+            for a, b in zip(*_bounds(table)):
+                block = table.slice(a, b - a)
+                reps, side = block.column("rep").to_numpy(), block.column("side").to_numpy()
+                sizes, band = block.column("n_shingles").to_numpy(), block.column("band").to_numpy()
+                minor = block.column("minor").to_numpy() == 1
+                joined = np.unique(block.column("group").to_numpy(), return_inverse=True)[1]
+                registers = _registers(block.column("sketch").combine_chunks())
+                hashes = block.column("hashes").combine_chunks()
+                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                step = max(1, 8192 // max(1, len(right)))
+                for at in range(0, len(left), step):
+                    x = np.repeat(left[at : at + step], len(right))
+                    y = np.tile(right, len(left[at : at + step]))
+                    # two rows outside the largest group meet twice and are compared once
+                    some = (joined[x] != joined[y]) & (~(minor[x] & minor[y]) | (reps[x] < reps[y]))
+                    some &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+                    x, y = x[some], y[some]
+                    if not len(x):
+                        continue
+                    equal = registers[x] == registers[y]
+                    first = equal.reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band[x]
+                    x, y, likeness = x[first], y[first], equal[first].mean(1)
                     fits = plausible(registers[x], registers[y], sizes[x], sizes[y], percent)
-                    x, y = x[fits], y[fits]
-                return x, y
-
-            side_twin = table.column("minor").to_numpy()
-            found_x, found_y = [], []
-            if star:  # rows come in the order of their hash: the first of a group meets the others
-                hub = np.repeat(starts, ends - starts)
-                rows = np.flatnonzero(hub != np.arange(len(hub)))
-                for at in range(0, len(rows), 4096):
-                    x, y = keep(rows[at : at + 4096], hub[rows[at : at + 4096]])
-                    found_x.append(x), found_y.append(y)
-            else:
-                for a, b in zip(starts, ends):
-                    left, right = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
-                    step = max(1, 8192 // max(1, len(right)))
-                    for at in range(0, len(left), step):
-                        own = left[at : at + step]
-                        x, y = keep(np.repeat(own, len(right)), np.tile(right, len(own)))
-                        found_x.append(x), found_y.append(y)
-            x = np.concatenate(found_x) if found_x else np.empty(0, int)
-            y = np.concatenate(found_y) if found_y else np.empty(0, int)
-            low, high = np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y])
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+                    x, y, likeness = x[fits], y[fits], likeness[fits]
+                    for n in np.argsort(-likeness, kind="stable"):
+                        u, v = int(x[n]), int(y[n])
+                        if joined[u] != joined[v] and _reaches(
+                            np.frombuffer(hashes[u].as_buffer(), np.uint64),
+                            np.frombuffer(hashes[v].as_buffer(), np.uint64), percent,
+                        ):
+                            joined[joined == joined[u]] = joined[v]
+                            found.append((min(reps[u], reps[v]), max(reps[u], reps[v])))
+            kind = table.schema.field("rep").type
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["a", "b"])
 
-    return propose
+    return settle
 
 
 def _open_buckets(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -290,14 +322,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            good = [
+                _reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column("of_a"), batch.column("of_b"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_sets = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("of_a")), "a").join(
@@ -306,41 +334,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets.select("a", "b", "of_a", "of_b").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def _candidates(rows: DataFrame, sketches: DataFrame, star: bool, percent: int, seed: int) -> DataFrame:
-    """Distinct pairs proposed in the buckets. Buckets are cut into blocks of about ``BLOCK`` rows; in the last
-    round, blocks of members outside the largest group meet all blocks of the bucket."""
+def _dealt(blocks: DataFrame, dressing: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with what they are compared by, each block whole and in one task, in the order of a hash."""
+    n = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["key", "i", "j", "turn", "rep"]
+    joined = blocks.join(dressing, "rep").repartition(n, "key", "i", "j")
+    return joined.sortWithinPartitions(*order).select(*columns, *(c for c in dressing.columns if c != "rep"))
+
+
+def _by_stars(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of one row per block of a bucket with the others of its block, confirmed."""
+    kind = rows.schema["rep"].dataType.simpleString()
+    turn = F.xxhash64("rep", F.lit(11))
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    blocks = rows.join(parts, "key", "left").withColumns({
+        "turn": turn, "i": F.pmod(turn, F.coalesce("parts", F.lit(1).cast("long"))), "j": F.lit(0).cast("long"),
+    })
+    dealt = _dealt(blocks.drop("parts", "band"), sketches, ["key", "i", "j", "rep", "group"])
+    pairs = cut(dealt.mapInArrow(_propose(percent), f"a {kind}, b {kind}").distinct(), "doc-pairs")
+    return _confirmed(pairs, sets, percent)
+
+
+def _by_all(rows: DataFrame, dressing: DataFrame, percent: int) -> DataFrame:
+    """Links between the groups of a bucket: blocks of rows outside the largest group meet blocks of all rows."""
     kind = rows.schema["rep"].dataType.simpleString()
     zero = F.lit(0).cast("long")
-    turn = F.xxhash64("rep", F.lit(seed))
-    if star:
-        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
-        blocks = rows.join(sizes, "key", "left").withColumns({
-            "i": F.pmod(turn, F.coalesce("parts", F.lit(1).cast("long"))), "j": zero, "side": F.lit(0),
-            "minor": F.lit(0),
-        })
-    else:
-        per_group = rows.groupBy("key", "group").agg(F.count("*").alias("n"))
-        sizes = per_group.groupBy("key").agg(
-            F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("largest")
-        ).select(
-            "key", F.col("largest.group").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("parts"),
-            F.greatest(F.ceil((F.col("n") - F.col("largest.n")) / BLOCK), F.lit(1)).alias("minor_parts"),
-        )
-        known = rows.join(sizes, "key").withColumn("minor", (F.col("group") != F.col("largest")).cast("int"))
-        left = known.where("minor = 1").withColumns({
-            "side": F.lit(0), "i": F.pmod(turn, F.col("minor_parts"))
-        }).withColumn("j", F.explode(F.sequence(zero, F.col("parts") - 1)))
-        right = known.withColumns({
-            "side": F.lit(1), "j": F.pmod(F.xxhash64("rep", F.lit(seed + 1)), F.col("parts"))
-        }).withColumn("i", F.explode(F.sequence(zero, F.col("minor_parts") - 1)))
-        blocks = left.unionByName(right)
-    columns = ["key", "i", "j", "side", "minor", "band", "rep", "group"]
-    dressed = blocks.select(*columns, turn.alias("turn")).join(sketches, "rep")
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dressed.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "turn", "rep").select(
-        *columns, "n_shingles", "sketch"
+    per_group = rows.groupBy("key", "group").agg(F.count("*").alias("n"))
+    sizes = per_group.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("largest")
+    ).select(
+        "key", F.col("largest.group").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("parts"),
+        F.greatest(F.ceil((F.col("n") - F.col("largest.n")) / BLOCK), F.lit(1)).alias("minor_parts"),
     )
-    return dealt.mapInArrow(_propose(star, percent), f"a {kind}, b {kind}").distinct()
+    known = rows.join(sizes, "key").withColumns({
+        "minor": (F.col("group") != F.col("largest")).cast("int"), "turn": F.xxhash64("rep", F.lit(11)),
+    })
+    left = known.where("minor = 1").withColumns({
+        "side": F.lit(0), "i": F.pmod("turn", F.col("minor_parts"))
+    }).withColumn("j", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    right = known.withColumns({
+        "side": F.lit(1), "j": F.pmod(F.xxhash64("rep", F.lit(12)), F.col("parts"))
+    }).withColumn("i", F.explode(F.sequence(zero, F.col("minor_parts") - 1)))
+    blocks = left.unionByName(right).drop("largest", "parts", "minor_parts")
+    dealt = _dealt(blocks, dressing, ["key", "i", "j", "side", "minor", "band", "rep", "group"])
+    return dealt.mapInArrow(_settle(percent), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(
@@ -365,16 +402,14 @@ def near_duplicates(
     met = cut(classes.join(buckets.select("rep").distinct(), "rep", "left_semi"), "doc-met")
     sketches = met.select("rep", "n_shingles", "sketch")
     sets = cut(_sets(texts, met), "doc-sets")
-    groups, links = None, None
-    for part, star in ((F.col("band") < BANDS // 4, True), (F.col("band") >= BANDS // 4, True), (F.lit(True), False)):
-        rows = cut(_open_buckets(buckets.where(part), groups), "open-buckets")
-        pairs = cut(_candidates(rows, sketches, star, percent, 11), "doc-pairs")
-        found = cut(_confirmed(pairs, sets, percent), "doc-links")
-        if groups is None:
-            links = found
-        else:  # what is already joined counts as one star per group
-            links = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
-        groups = cut(components(links), "doc-groups")
+    links = cut(_by_stars(_open_buckets(buckets.where(F.col("band") < BANDS // 4), None), sketches, sets, percent), "doc-links")
+    groups = cut(components(links), "doc-groups")
+    for last in (False, True):
+        rows = cut(_open_buckets(buckets if last else buckets.where(F.col("band") >= BANDS // 4), groups), "open-buckets")
+        found = _by_all(rows, sketches.join(sets, "rep"), percent) if last else _by_stars(rows, sketches, sets, percent)
+        # what is already joined counts as one star per group
+        stars = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        groups = cut(components(stars.union(cut(found, "doc-links"))), "doc-groups")
     named = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")
     ).groupBy("set_key").agg(F.min("component_id").alias("component_id"))
