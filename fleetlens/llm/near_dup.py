@@ -410,9 +410,10 @@ def near_duplicates(
         # what is already joined counts as one star per group
         stars = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         groups = cut(components(stars.union(cut(found, "doc-links"))), "doc-groups")
+    # one row per set; a set that fills much of the table is split where it is joined
     named = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")
-    ).groupBy("set_key").agg(F.min("component_id").alias("component_id"))
+    )
     joined = every.join(named, "set_key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
