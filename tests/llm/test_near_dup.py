@@ -1,0 +1,95 @@
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from conftest import prose
+from fleetlens.llm import near_dup
+
+
+def brute(rows, percent=85):
+    """(doc_id, set size, component) by comparing all pairs."""
+    def of(text):
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(words[n : n + 5]) for n in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+    sets = [of(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    low = {}
+    for n, (i, _) in enumerate(rows):
+        low[find(n)] = min(low.get(find(n), i), i)
+    return Counter((i, len(sets[n]), low[find(n)]) for n, (i, _) in enumerate(rows))
+
+
+def found(docs):
+    rows = near_dup.near_duplicates(docs).collect()
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows)
+
+
+def edited(text, seed, edits):
+    draw = np.random.default_rng(seed)
+    words = text.split()
+    for n in draw.integers(0, len(words), edits):
+        words[n] = f"edit{draw.integers(1 << 40)}"
+    return " ".join(words)
+
+
+def test_tricky_documents(tricky_docs, tricky):
+    assert found(tricky_docs) == brute([(i, t) for i, t, _ in tricky])
+
+
+@pytest.fixture(scope="module")
+def family():
+    """Copies of a few texts with more and more edits: links run through chains and stars, near the threshold."""
+    rows = []
+    for base, n in ((3, 40), (4, 15), (5, 200)):
+        text = prose(base, n)
+        rows += [(len(rows) + k + 100 * base, edited(text, k, k % 6)) for k in range(60)]
+    chain = prose(6, 400)
+    for k in range(25):
+        chain = edited(chain, 1000 + k, 5)
+        rows.append((5000 - k, chain))
+    rows += [(9000 + k, prose(50 + k, 1 + k % 9)) for k in range(40)]
+    return rows
+
+
+def test_families_of_copies(spark, family):
+    docs = spark.createDataFrame(family, "doc_id long, text string")
+    assert found(docs) == brute(family)
+
+
+def test_blocks_of_large_buckets(spark, family, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    docs = spark.createDataFrame(family, "doc_id long, text string")
+    assert found(docs) == brute(family)
+
+
+def test_no_documents(no_docs):
+    assert near_dup.near_duplicates(no_docs).collect() == []
+
+
+def test_estimates_are_near_the_truth():
+    draw = np.random.default_rng(1)
+    for n in (30, 500, 5000):
+        errors = []
+        for _ in range(30):
+            all_ = draw.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+            a, b = np.unique(all_[: n + n // 3]), np.unique(all_[n // 3 :][: n + n // 3])
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            equal = (near_dup.sketch(a) == near_dup.sketch(b)).mean()
+            accidental = near_dup.chance(np.array([len(a)]), np.array([len(b)]))[0]
+            errors.append((equal - accidental) / (1 - accidental) - true)
+        assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.2
