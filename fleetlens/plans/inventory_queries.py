@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import block
+from fleetlens.functions.text import URL_PATTERN
 from fleetlens.operators.inventory import (
     INVENTORY_COLUMNS,
     TEST_TEARDOWN,
@@ -155,7 +156,7 @@ for _kind in _KINDS:
 
 @bound(
     "prj7_endpoint_columns",
-    """
+    f"""
     WITH p AS (
       SELECT page_id, 'c' || page_id % 7 AS cluster, 'shard-node-' || page_id AS role,
         CASE WHEN page_id % 2 = 0 THEN 'u' || page_id || '@localhost@x' ELSE 'u' || page_id END AS "user",
@@ -165,7 +166,7 @@ for _kind in _KINDS:
     SELECT page_id, cluster || '-' || role AS server_name, cluster || '-' || role || '.c.fleet.internal' AS internal_host,
       string_split("user", '@')[1] AS user_name,
       CASE WHEN contains(address, '//') THEN address ELSE 'mongodb://' || address END AS address_url,
-      regexp_full_match(address, '\\b(https?|ftp)://[-a-zA-Z0-9+&@#/%?=~_|!:,.;]*[-a-zA-Z0-9+&@#/%=~_|]') AS address_is_url
+      regexp_full_match(address, '{URL_PATTERN}') AS address_is_url
     FROM p""",
 )
 def prj7_endpoint_columns(spark, sf_dir):

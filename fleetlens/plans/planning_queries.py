@@ -215,6 +215,7 @@ def _shown(validated: DataFrame) -> DataFrame:
     return validated.withColumn("errors", F.array_join(shown, "; "))
 
 
+# Field names and messages of the rules, with their conditions in SQL.
 _RUN_CHECKS = [
     ("phase", "Incorrect phase", "phase IS NULL OR phase = ''"),
     ("threads", "Incorrect number of threads", "threads <= 0"),
@@ -246,6 +247,7 @@ _CLUSTER_FORMS = f"""{SPECS}, cluster_forms AS (
     c_nationkey AS dataDiskSizeGb, root_disk_gb AS rootDiskSizeGb
   FROM specs)"""
 
+# Field names and messages of the rules, with their conditions in SQL.
 _CLUSTER_CHECKS = [
     ("shardNodes", "Incorrect number of shards", "shardNodes < 2"),
     ("processes", "Incorrect number of processes", "processes <= 0"),
@@ -288,6 +290,7 @@ def val1_cluster_form(spark, sf_dir):
     return _shown(checked).select("clusterName", "errors", "is_valid")
 
 
+# Field names and messages of the rules, with their conditions in SQL.
 _TEST_CHECKS = [
     ("testNodes", "Incorrect number of shards", "testNodes < 1"),
     ("machineType", "You must choose the machine type", "machineType IS NULL OR machineType = ''"),
