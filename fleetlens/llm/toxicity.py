@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import cut
 from fleetlens.llm.sampling import fold, sample_ids
 from fleetlens.session import ship_package
 
@@ -75,49 +76,34 @@ class Model:
         return score
 
 
-def _bag(text: str) -> bytes:
-    """The features of each sentence, as 32-bit integers: -1 begins a sentence."""
+def _bag(text: str, kept: np.ndarray) -> bytes:
+    """The kept features of each sentence, as 32-bit integers: -1 begins a sentence."""
     out: list[int] = []
     low = text.lower()
     for a, b in sentences(low):
         out.append(-1)
         for w in set(WORD.findall(low, a, b)):
-            out.extend(word_features(w))
+            out.extend(f for f in word_features(w) if kept[f])
     return np.array(out, np.int32).tobytes()
 
 
 def fit(
-    bags: list[bytes], toxic: np.ndarray, *, passes: int = 150, speed: float = 0.05, penalty: float = 0.1,
-    least: float = 1.5, prior_documents: float = 15.0,
+    bags: list[bytes], toxic: np.ndarray, evidence: np.ndarray, *, passes: int = 150, speed: float = 0.05,
+    penalty: float = 0.1,
 ) -> Model | None:
-    """A model from bags of sentences and document labels. None where one of the labels is missing.
-
-    Only features whose log ratio of smoothed document shares, toxic to other, reaches ``least`` get a weight (any
-    other is no evidence for a noisy-or); they start at that ratio and full passes of Adam then fit the noisy-or.
-    """
+    """A model from bags of sentences, document labels and the features' log ratios, at which weights start; full
+    passes of Adam then fit the noisy-or. None where one of the labels is missing."""
     if not len(toxic) or toxic.all() or not toxic.any():
         return None
     y = toxic.astype(bool)
     flat = np.frombuffer(b"".join(bags), np.int32)
     sizes = np.array([len(b) // 4 for b in bags])
-    document = np.repeat(np.arange(len(bags)), sizes)
     begins = flat < 0
-    sentence = np.cumsum(begins) - 1
-    of_sentence = document[begins]
-    feature, at, doc = flat[~begins], sentence[~begins], document[~begins]
-    # documents per feature
-    pairs = np.unique(feature.astype(np.int64) * len(bags) + doc)
-    in_toxic = np.bincount(pairs // len(bags), y[pairs % len(bags)], 1 << BITS)
-    in_other = np.bincount(pairs // len(bags), minlength=1 << BITS) - in_toxic
-    share = y.mean()
-    ratio = np.log(
-        (in_toxic + prior_documents * share) / (in_other + prior_documents * (1 - share)) * (1 - share) / share
-    )
-    kept = (ratio >= least)[feature]
-    used, feature = np.unique(feature[kept], return_inverse=True)
-    at = at[kept]
+    of_sentence = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)[begins]
+    at = (np.cumsum(begins, dtype=np.int32) - 1)[~begins]
+    used, feature = np.unique(flat[~begins], return_inverse=True)
     n = len(of_sentence)
-    weights, bias = ratio[used], -6.0
+    weights, bias = evidence[used].astype(np.float64), -6.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, passes + 1):
         z = bias + np.bincount(at, weights[feature], n)
@@ -139,28 +125,63 @@ def fit(
     return Model(full, float(bias))
 
 
+def _evidence(sampled: DataFrame, least: float) -> np.ndarray:
+    """Log ratio of smoothed document shares, toxic to other, of each feature; 0 where it is below ``least``, as such a
+    feature is no evidence for a noisy-or. Documents are counted by Spark; what is left reaches the driver, at most
+    one row per feature."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tally = np.zeros((2, 1 << BITS), np.int64)
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text")):
+                words = set(WORD.findall((text.as_py() or "").lower()))
+                tally[label, list({f for w in words for f in word_features(w)})] += 1
+            there = np.flatnonzero(tally.any(0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(there.astype(np.int32)), pa.array(tally[1, there]), pa.array(tally[0, there])],
+                names=["feature", "toxic", "other"],
+            )
+
+    n = sampled.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
+    out = np.zeros(1 << BITS)
+    if not n["n"] or n["toxic"] in (0, n["n"]):
+        return out
+    share = n["toxic"] / n["n"]
+    prior_documents = max(4.0, n["n"] / 1000)  # without evidence: so many documents at the usual share
+    ratio = F.log(
+        (F.sum("toxic") + prior_documents * share) / (F.sum("other") + prior_documents * (1 - share))
+        * (1 - share) / share
+    )
+    counted = sampled.mapInArrow(count, "feature int, toxic long, other long").groupBy("feature")
+    for r in counted.agg(ratio.alias("ratio")).where(F.col("ratio") >= least).collect():
+        out[r["feature"]] = r["ratio"]
+    return out
+
+
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 4, held_out: int = 2, max_labelled: int = 24_000, max_chars: int = 100_000,
+    folds: int = 4, held_out: int = 2, max_labelled: int = 24_000, max_chars: int = 100_000, least: float = 1.5,
 ) -> Model | None:
-    """Fits on at most ``max_labelled`` documents outside the held-out fold, taken by hash among labelled ones of at
+    """Fits on at most ``max_labelled`` documents outside the held-out fold, taken by hash among labelled ones, of at
     most ``max_chars`` characters: together these bound what the driver gathers. Scoring has no such bounds."""
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     usable = marked.where((fold("doc_id", folds) != held_out) & F.col("label").isin(0, 1))
     ids = sample_ids(usable, max_labelled, 3)
+    # the sample's bound is a parameter, so it may be sent to every task instead of shuffling all texts
+    short = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    sampled = cut(short.join(F.broadcast(ids), "doc_id").select("label", "text"), "labelled-texts")
+    evidence = _evidence(sampled, least)
+    kept = evidence > 0
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([_bag(t.as_py() or "") for t in batch.column("text")], pa.binary())
+            found = pa.array([_bag(t.as_py() or "", kept) for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("label"), found], names=["label", "bag"])
 
-    # the sample's bound is a parameter, so it may be sent to every task instead of shuffling all texts
-    short = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    sampled = short.join(F.broadcast(ids), "doc_id").select("label", "text")
     rows = sampled.mapInArrow(bag, "label int, bag binary").collect()
-    return fit([bytes(r["bag"]) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64))
+    return fit([bytes(r["bag"]) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), evidence)
 
 
 def score(
