@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import mixing, near_dup, packing, quality, toxicity
+from fleetlens.llm.common import cut
 from fleetlens.session import scratch_folder
 
 REJECT_QUALITY_BELOW = 0.3
@@ -28,20 +29,33 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs, model).where(F.col("score") < REJECT_TOXIC_FROM).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): every row as a struct with a number of its own, stored, so that each reading sees the same numbers."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "pipeline-rows")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    dropped = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, that of the smallest id and, of its rows, the first. Rows are
+    compared, not ids: an id may have several texts. Rows without an id and texts without words stay."""
+    rows = numbered(docs)
+    # without an id a row links with nothing, as a text without words does
+    texts = rows.select("row", F.when(F.col("doc.doc_id").isNotNull(), F.col("doc.text")).alias("text"))
+    groups = near_dup.near_duplicates(texts, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.col("doc.doc_id").alias("doc_id"))
+    first = F.min(F.struct("doc_id", "row"))["row"]
+    kept = groups.join(ids, "row").groupBy("component_id").agg(first.alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: once per round of which it takes at least half of their words."""
-    taken = mixing.taken(mixing.mix(docs)).where("size > 0")
+    """Rows as often as the mix takes them: once per round of which it takes at least half of their words."""
+    rows = numbered(docs)
+    texts = rows.select("row", *(F.col(f"doc.{c}").alias(c) for c in ("doc_id", "text", "source")))
+    taken = mixing.taken(mixing.mix(texts, row_col="row")).where("size > 0")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    # the documents after near-dedup have one row per id
-    repeats = taken.select("doc_id", times.alias("_times")).where("_times > 0")
-    mixed = docs.join(repeats, "doc_id").withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return mixed.select(*docs.columns)
+    repeats = taken.select("row", times.alias("times")).where("times > 0")
+    mixed = rows.join(repeats, "row").withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return mixed.select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

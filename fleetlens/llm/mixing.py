@@ -109,14 +109,16 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-    block_words: int = 1024, buckets: int = 1024,
+    block_words: int = 1024, buckets: int = 1024, row_col: str | None = None,
 ) -> Mix:
     """A mix of ``share`` times all words: sources by code point, null last, weigh ``weights`` in turn; a target
     stops at ``most`` times its source's size and the excess is shared again by weight.
 
     A source's slots cut its target into blocks of equal words (near ``block_words``), so what is taken of each
-    source is its target to the word, and no document is taken more than ``most``, rounded up, times.
+    source is its target to the word, and no document is taken more than ``most``, rounded up, times. A number of
+    each row in ``row_col`` goes through to ``documents`` and ``taken`` as ``row``: ids may be null or repeat.
     """
+    numbers = [F.col(row_col).alias("row")] if row_col else []
     sized = cut(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -124,6 +126,7 @@ def mix(
             F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")).alias("k"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
+            *numbers,
         ),
         "mix-sizes",
     )
@@ -134,8 +137,8 @@ def mix(
         "step", F.when(F.col("n_slots") > 0, F.col("goal") / F.col("n_slots"))
     )
     placed = running_start(
-        sized.withColumn("bucket", F.pmod("h", F.lit(buckets))), ["k"], "bucket", ["h", "doc_id", "size"],
-        F.col("size"), "place_in_source",
+        sized.withColumn("bucket", F.pmod("h", F.lit(buckets))), ["k"], "bucket",
+        ["h", "doc_id", "size", *(["row"] if row_col else [])], F.col("size"), "place_in_source",
     )
     documents = placed.join(
         sources.select("k", "source_size", "target", "goal", "n_slots", "step"), "k"
@@ -173,7 +176,7 @@ def mix(
 def taken(mixed: Mix) -> DataFrame:
     """Every document with the words that the mix takes of it, repeats counted."""
     per_document = mixed.pieces.groupBy("k", "place_in_source").agg(F.sum("words").alias("taken"))
+    names = [c for c in ("row", "doc_id", "source", "size", "source_size", "target") if c in mixed.documents.columns]
     full = mixed.documents.where("size > 0").join(per_document, ["k", "place_in_source"], "left")
     empty = mixed.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return full.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(
-        empty.select("doc_id", "source", "size", "source_size", "target", "taken"))
+    return full.select(*names, F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(empty.select(*names, "taken"))

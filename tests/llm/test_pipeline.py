@@ -1,9 +1,15 @@
 import ast
 import inspect
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import common
+from conftest import prose
+from fleetlens.llm import common, mixing
 from fleetlens.llm.queries import QUERIES
+from test_mixing import size
+from test_near_dup import brute, edited
 
 
 def test_stages_and_entry():
@@ -41,3 +47,54 @@ def test_components(spark):
     assert all(v == 100 for k, v in got.items() if 100 <= k <= 140) and all(v == 200 for k, v in got.items() if k >= 200)
     assert len(got) == 11 + 41 + 52
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def corpus():
+    """(doc_id, text, source) with null ids, repeated rows, an id with two texts, near copies and blank texts."""
+    one, two, three, four = (prose(n, 120) for n in (31, 32, 33, 34))
+    rows = [
+        (1, one, "a"), (2, one, "b"), (2, two, "a"), (3, edited(two, 1, 1), "b"), (3, four, "a"), (4, edited(one, 2, 2), "a"),
+        (5, None, "a"), (5, None, "a"), (6, " ", None), (6, "", "b"), (9, "few words", None), (8, "FEW words", None),
+    ]
+    rows += [(None, one, "a"), (None, one, "a"), (None, None, "b"), (None, "only here", None)]
+    rows += [(7, three, "b")] * 5 + [(10, edited(three, 3, 2), "a")] * 3
+    return rows
+
+
+def table_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    return docs.withColumns({c: F.lit("x") for c in ("row", "doc", "times", "round", "_round", "kept", "component_id")})
+
+
+def kept_by_brute_force(rows, percent):
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    groups = brute([(n, text) for n, (_, text, _) in enumerate(named)], percent)
+    return Counter([named[n][:2] for n, _, low in groups if n == low] + [r[:2] for r in rows if r[0] is None])
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    docs = table_of(spark, corpus())
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == kept_by_brute_force(corpus(), 85)
+
+
+def test_mixing_stage_repeats_rows_as_often_as_they_are_taken(spark):
+    docs = table_of(spark, corpus())
+    got = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    copies = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    want = Counter()
+    for r in mixing.taken(mixing.mix(docs)).where("size > 0").collect():
+        want[r["doc_id"], r["size"]] += int(r["taken"] / r["size"] + 0.5)
+    by_size = Counter()
+    for (i, text), n in copies.items():
+        by_size[i, size(text)] += n
+    assert by_size == +want and any(i is None for i, _ in copies)
+    there = Counter(r[:2] for r in corpus())
+    assert all(n <= 2 * there[key] for key, n in copies.items())
+
+
+def test_stages_on_empty_tables(spark, no_docs):
+    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.mixing_stage):
+        assert stage(spark, no_docs, "").collect() == []
