@@ -15,6 +15,8 @@ from fleetlens.session import scratch_folder
 
 REJECT_QUALITY_BELOW = 0.3
 REJECT_TOXIC_FROM = 0.3
+# Shared shingles in a hundred of the union from which documents are near-duplicates; op2_near_documents has its own.
+NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = numbered(docs)
     # without an id a row links with nothing, as a text without words does
     texts = rows.select("row", F.when(F.col("doc.doc_id").isNotNull(), F.col("doc.text")).alias("text"))
-    groups = near_dup.near_duplicates(texts, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    found = near_dup.near_duplicates(texts, id_col="row", percent=NEAR_PERCENT)
+    groups = found.select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select("row", F.col("doc.doc_id").alias("doc_id"))
     first = F.min(F.struct("doc_id", "row"))["row"]
     kept = groups.join(ids, "row").groupBy("component_id").agg(first.alias("row")).select("row")
