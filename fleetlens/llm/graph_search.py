@@ -15,6 +15,8 @@ own id; with fewer candidates than ``k`` all are given; an empty table gives no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -153,29 +155,44 @@ def same_length(vectors: np.ndarray) -> np.ndarray:
 
 
 def _search_shard(k: int, beam: int, block: int):
-    def search(shard: pa.Table) -> pa.Table:
-        points = shard.filter(pa.compute.equal(shard.column("kind"), 0))
-        asked = shard.filter(pa.compute.equal(shard.column("kind"), 1))
-        if not len(points) or not len(asked):
-            return pa.table({"query_id": asked.column("id")[:0], "point": points.column("id")[:0],
-                             "score": pa.array([], pa.float64())})
-        vectors, queries = matrix(points.column("vector")), matrix(asked.column("vector"))
-        graph = Graph(same_length(vectors))
-        ids, query_ids = points.column("id").to_numpy(), asked.column("id").to_numpy()
-        out_q, out_p, out_s = [], [], []
-        for at in range(0, len(queries), block):
-            part = queries[at : at + block]
-            found, _ = graph.search(np.hstack([part, np.zeros((len(part), 1))]), beam)
-            exact = np.einsum("qd,qcd->qc", part, vectors[np.maximum(found, 0)])
-            exact[found < 0] = -np.inf
-            best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            rows = np.arange(len(part))[:, None]
-            there = found[rows, best] >= 0
-            out_q.append(np.broadcast_to(query_ids[at : at + block][:, None], best.shape)[there])
-            out_p.append(ids[found[rows, best]][there])
-            out_s.append(exact[rows, best][there])
-        return pa.table({"query_id": pa.array(np.concatenate(out_q)), "point": pa.array(np.concatenate(out_p)),
-                         "score": pa.array(np.concatenate(out_s))})
+    """Answers rows that come by shard, each shard's points (kind 0) before its queries: the graph is built once from
+    the points, then every block of queries is answered and let go."""
+
+    def answer(graph: Graph, vectors: np.ndarray, ids: pa.Array, asked: pa.RecordBatch) -> pa.RecordBatch:
+        part = matrix(asked.column("vector"))
+        found, _ = graph.search(np.hstack([part, np.zeros((len(part), 1))]), beam)
+        exact = np.einsum("qd,qcd->qc", part, vectors[np.maximum(found, 0)])
+        exact[found < 0] = -np.inf
+        best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
+        rows = np.arange(len(part))[:, None]
+        there = found[rows, best] >= 0
+        query = np.broadcast_to(rows, best.shape)[there]
+        return pa.RecordBatch.from_arrays(
+            [asked.column("id").take(pa.array(query)), ids.take(pa.array(found[rows, best][there])),
+             pa.array(exact[rows, best][there])], names=["query_id", "point", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, points, graph, vectors, ids = None, [], None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a batch may hold the end of one shard and the start of others
+            at = np.stack([batch.column("shard").to_numpy(), batch.column("kind").to_numpy()])
+            starts = np.concatenate([[0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1])
+            for start, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+                run, (shard, kind) = batch.slice(start, end - start), at[:, start]
+                if shard != now:
+                    now, points, graph, vectors, ids = shard, [], None, None, None
+                if kind == 0:
+                    # only what the graph needs: a slice would hold on to its whole batch
+                    points.append((matrix(run.column("vector")), pa.concat_arrays([run.column("id")])))
+                    continue
+                if graph is None and points:
+                    vectors, ids = np.concatenate([v for v, _ in points]), pa.concat_arrays([i for _, i in points])
+                    points, graph = [], Graph(same_length(vectors))
+                if graph is not None:
+                    for first in range(0, run.num_rows, block):
+                        yield answer(graph, vectors, ids, run.slice(first, block))
 
     return search
 
@@ -186,8 +203,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest that were found for every row for which ``queries`` is true.
 
-    A shard holds about ``shard_rows`` distinct vectors and sees all queries; every task holds one shard, its graph
-    and the queries' vectors. Queries are few beside the rows by contract of the caller.
+    A shard holds about ``shard_rows`` distinct vectors and sees all queries; a task holds one shard with its graph
+    at a time and one batch of queries, however many there are.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -207,11 +224,11 @@ def nearest(
     own = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "vector")
     asked = sound.where("asked").select("id", "vector").distinct()
     everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    rows = own.unionByName(everywhere.select("shard", F.lit(1).alias("kind"), "id", "vector"))
+    # sorted by Spark, on disk where need be, so that queries stream past the graph of their shard
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
     found = cut(
-        own.unionByName(everywhere.select("shard", F.lit(1).alias("kind"), "id", "vector"))
-        .groupBy("shard").applyInArrow(_search_shard(k, beam, query_block),
-                                       f"query_id {kind}, point {kind}, score double"),
-        "ann-found",
+        dealt.mapInArrow(_search_shard(k, beam, query_block), f"query_id {kind}, point {kind}, score double"), "ann-found"
     )
     # the nearest k + 1 points hold the nearest k ids; of a point's copies its k + 1 smallest ids can be among them
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "point")

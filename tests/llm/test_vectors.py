@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,42 @@ def test_nearest_with_ties_and_unusual_vectors(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-12)
 
 
+def test_queries_stream_past_the_graph_of_their_shard():
+    draw = np.random.default_rng(4)
+    sent = []
+
+    def rows(shard, kind, first, n):
+        vectors = pa.array(draw.normal(size=(n, 4)).tolist(), pa.list_(pa.float64()))
+        columns = [pa.array([shard] * n), pa.array([kind] * n, pa.int32()), pa.array(range(first, first + n)), vectors]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "kind", "id", "vector"])
+
+    def batches():
+        # the points of shard 0 in two batches, its queries in many; one batch holds its last queries and shards 1 and 2
+        queries = [rows(0, 1, 100 + 10 * n, 10) for n in range(20)]
+        mixed = pa.concat_batches([rows(0, 1, 300, 5), rows(1, 0, 40, 20), rows(1, 1, 100, 3), rows(2, 1, 100, 3)])
+        for batch in [rows(0, 0, 0, 30), rows(0, 0, 30, 10), *queries, mixed]:
+            sent.append(batch)
+            yield batch
+
+    answers = graph_search._search_shard(3, 48, 512)(batches())
+    first = next(answers)
+    # answered with one batch of queries read, not all of them
+    assert len(sent) == 3 and set(first.column("query_id").to_pylist()) == set(range(100, 110))
+    got = {}
+    for batch in [first, *answers]:
+        for r in batch.to_pylist():
+            got.setdefault((r["point"] >= 40, r["query_id"]), []).append((r["point"], r["score"]))
+    every = pa.Table.from_batches(sent).to_pylist()
+    for shard, asked in ((0, 205), (1, 3)):
+        points = [r for r in every if r["shard"] == shard and r["kind"] == 0]
+        queries = [r for r in every if r["shard"] == shard and r["kind"] == 1]
+        assert len(queries) == asked
+        for q in queries:
+            want = sorted(((-np.dot(q["vector"], p["vector"]), p["id"]) for p in points))[:4]
+            assert [i for i, _ in got.pop((shard == 1, q["id"]))] == [i for _, i in want]
+    assert not got  # a shard without points answers nothing
+
+
 def test_few_candidates(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [2.0, 1.0], 1), (2, [0.0, -1.0], None)], SCHEMA)
     rows = graph_search.nearest(vectors, F.col("vec_id") == 0).orderBy("rank").collect()
