@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetlens.llm import license_scan as licenses
-from fleetlens.llm import graph_search, mixing, near_dup, packing, quality, range_join, toxicity, warc
+from fleetlens.llm import fill_middle, graph_search, language_id, mixing, near_dup, packing, quality, range_join, sharded_lloyd
+from fleetlens.llm import toxicity, warc
 from fleetlens.llm import token_counts as counts
 from fleetlens.llm.common import table
 from fleetlens.llm.registry import ORACLES, QUERIES, bound
@@ -123,3 +124,90 @@ def source_mix(spark, sf_dir):
 @bound("op10_license_scan")
 def license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round as two tables: the vectors with their centroid, and the centroids after it."""
+    away = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (
+      SELECT vec_id, e, near.cluster, near.d FROM (
+        SELECT v.vec_id, any_value(v.e) AS e, min({{'d': {away}, 'cluster': c.cluster}}) AS near
+        FROM v CROSS JOIN c{n} c GROUP BY v.vec_id))"""
+
+    def moved(n: int) -> str:
+        return f"""c{n + 1} AS MATERIALIZED (
+      SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{n} c LEFT JOIN (
+        SELECT cluster, list(mean ORDER BY place) AS e FROM (
+          SELECT cluster, place, ((s - ((s % n) + n) % n) // n)::BIGINT AS mean FROM (
+            SELECT cluster, place, sum(x)::BIGINT AS s, count(*) AS n
+            FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS place FROM a{n}) GROUP BY cluster, place))
+        GROUP BY cluster) m ON m.cluster = c.cluster)"""
+
+    steps = ",\n    ".join(f"{assigned(n)},\n    {moved(n)}" for n in range(rounds))
+    return f"""
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (
+      SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS cluster, e
+      FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h LIMIT {k})),
+    {steps},
+    {assigned(rounds)}
+    SELECT a.vec_id, a.cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+      (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
+    """
+
+
+@bound("op11_centroid_clusters", _lloyd_sql())
+def centroid_clusters(spark, sf_dir):
+    return sharded_lloyd.lloyd(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@bound(
+    "op12_fill_middle",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+    u AS (
+      SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, ('0x' || h[1:8])::BIGINT AS h1,
+        ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+      FROM d),
+    f AS (
+      SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a,
+        greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100
+          THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+      FROM u),
+    p AS (
+      SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+        array_to_string(lines[b + 1:], '') AS suffix
+      FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(prefix || middle || suffix) AS restored_sha256
+    FROM p
+    """,
+)
+def fill_in_middle(spark, sf_dir):
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("output"), F.col("form")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(output, form), 256).alias("restored_sha256"),
+    )
+
+
+@bound("op13_language_id")
+def language_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    # a text that is rejected still has a nearest language, which is what is asked for here
+    return language_id.identify(docs.drop("lang"), model).select(
+        "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"),
+        F.col("lang_score").alias("score"), "rejected",
+    )
