@@ -126,17 +126,30 @@ def _place(number: Column, span: int) -> Column:
     return F.coalesce(block(number, span), F.lit(0).cast("long"))
 
 
-def _entries(pieces: DataFrame, span: int, levels: int) -> DataFrame:
-    """The entry at the start of each piece (``_name``, ``pos``, ``step``), as ``_name``, ``pos``, ``entry``."""
+def _groups(pieces: DataFrame, span: int, levels: int) -> DataFrame:
+    """Pieces (``_name``, ``pos``, ``step``) in order, as ``_name``, ``_group``, ``_pieces``."""
     group = _place(F.col("pos"), span) if levels else F.lit(0).cast("long")
-    groups = pieces.groupBy("_name", group.alias("_group")).agg(
+    return pieces.groupBy("_name", group.alias("_group")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("_pieces")
     )
+
+
+def _composed_groups(groups: DataFrame) -> DataFrame:
+    composed = _compose_all("_pieces", lambda done, p: _compose(done, p["step"])).alias("step")
+    return groups.select("_name", F.col("_group").alias("pos"), composed)
+
+
+def _entries(pieces: DataFrame, span: int, levels: int, entries: DataFrame | None) -> DataFrame:
+    """The entry at the start of each piece (``_name``, ``pos``, ``step``), as ``_name``, ``pos``, ``entry``;
+    ``entries`` are those at the start of all."""
+    groups = _groups(pieces, span, levels)
     if levels == 0:
-        groups = groups.withColumn("entry", _no_entry())
+        if entries is None:
+            groups = groups.withColumn("entry", _no_entry())
+        else:
+            groups = groups.join(entries.select("_name", "entry"), "_name", "left")
     else:
-        composed = _compose_all("_pieces", lambda done, p: _compose(done, p["step"])).alias("step")
-        starts = _entries(groups.select("_name", F.col("_group").alias("pos"), composed), span, levels - 1)
+        starts = _entries(_composed_groups(groups), span, levels - 1, entries)
         groups = groups.join(starts.withColumnRenamed("pos", "_group"), ["_name", "_group"], "left")
     no_rows = F.array().cast(f"array<struct<pos:bigint,entry:{ENTRY}>>")
     start = F.struct(F.col("entry").alias("entry"), no_rows.alias("out"))
@@ -149,24 +162,51 @@ def _entries(pieces: DataFrame, span: int, levels: int) -> DataFrame:
     return groups.select("_name", F.inline(F.aggregate("_pieces", start, go)["out"]))
 
 
-def operation_delta(polls: DataFrame, span: int = 512) -> DataFrame:
-    """The observations that are news, over a whole table of polls.
+def name_key(name: str = "name") -> Column:
+    """A name as the key of its history, never NULL: a NULL name has one of its own, apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), name), F.lit(""))
 
-    ``polls``: ``poll_id`` (whole number, rising with time), ``poll_ms``, ``cutoff_ms`` (see
-    ``with_cutoff``), ``name`` (once per poll), ``status``, ``start_time``, ``insert_time`` (ISO 8601), and
-    any more columns of types that can be ordered, which come out unchanged.
-    """
+
+def _segments(polls: DataFrame, span: int) -> DataFrame:
     observed = observation_facts(polls)
     row = F.struct("poll_id", *(c for c in observed.columns if c != "poll_id"))
-    # a NULL name has a history of its own, apart from the empty one
-    name = F.coalesce(F.concat(F.lit("="), "name"), F.lit("")).alias("_name")
-    segments = observed.groupBy(name, _place(F.col("poll_id"), span).alias("pos")).agg(
+    return observed.groupBy(name_key().alias("_name"), _place(F.col("poll_id"), span).alias("pos")).agg(
         F.array_sort(F.collect_list(row)).alias("_rows")
     )
+
+
+def _pieces(segments: DataFrame) -> DataFrame:
     composed = _compose_all("_rows", lambda done, r: F.when(_silent(r), done).otherwise(_compose(done, _step(r))))
-    pieces = segments.select("_name", "pos", composed.alias("step"))
+    return segments.select("_name", "pos", composed.alias("step"))
+
+
+def feed_entries(polls: DataFrame, entries: DataFrame | None = None, span: int = 512) -> DataFrame:
+    """``_name`` (see ``name_key``) and ``entry``: what a feed remembers after these polls of each name in them.
+
+    ``entries`` has what it remembers before, one row per name at most. Rows of a name are composed to one step per
+    segment before they meet, so no task holds a name's rows.
+    """
+    pieces = _pieces(_segments(polls, span))
+    whole = _composed_groups(_groups(_composed_groups(_groups(pieces, span, 1)), span, 0))
+    if entries is None:
+        known = whole.withColumn("entry", _no_entry())
+    else:
+        known = whole.join(entries.select("_name", "entry"), "_name", "left")
+    after = F.when(F.col("step").isNull(), F.col("entry")).otherwise(_apply(F.col("step"), F.col("entry")))
+    return known.select("_name", after.alias("entry"))
+
+
+def operation_delta(polls: DataFrame, span: int = 512, entries: DataFrame | None = None) -> DataFrame:
+    """The observations that are news, over a whole table of polls.
+
+    ``polls``: ``poll_id`` (whole number, rising with time), ``poll_ms``, ``cutoff_ms`` (see
+    ``with_cutoff``), ``name`` (once per poll), ``status``, ``start_time``, ``insert_time`` (ISO 8601), and
+    any more columns of types that can be ordered, which come out unchanged. ``entries``: what the feed remembers
+    from before, as ``feed_entries`` gives it.
+    """
+    segments = _segments(polls, span)
     # both sides of the join read one and the same shuffle of the observations
-    started = segments.join(_entries(pieces, span, levels=1), ["_name", "pos"], "left")
+    started = segments.join(_entries(_pieces(segments), span, 1, entries), ["_name", "pos"], "left")
 
     def decide(acc: Column, r: Column) -> Column:
         entry = acc["entry"]

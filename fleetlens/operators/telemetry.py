@@ -142,38 +142,57 @@ def node_series(
     )
 
 
-def _rates(window_ms: int) -> list[Column]:
-    total = F.sum(F.col("ops").cast("long"))
-    weighted = F.sum(F.col("ops").cast("double") * F.col("avg_latency").cast("double"))
+# What the measures of a window add up to.
+RATE_TOTALS = "node string, op string, window_start bigint, measures bigint, operations bigint, weighted double"
+
+
+def rate_totals(measures: DataFrame, window_ms: int) -> DataFrame:
+    """Counts and sums by node, operation and tumbling window, which can be added to those of other measures."""
+    start = F.col("time") - F.col("time") % F.lit(window_ms)
+    return measures.groupBy("node", "op", start.alias("window_start")).agg(*_totals())
+
+
+def _totals() -> list[Column]:
     return [
         F.count("*").alias("measures"),
-        total.alias("operations"),
-        (total * 1000 / F.lit(window_ms)).alias("ops_per_second"),
-        F.when(total > 0, weighted / total).alias("mean_latency"),
+        F.sum(F.col("ops").cast("long")).alias("operations"),
+        F.sum(F.col("ops").cast("double") * F.col("avg_latency").cast("double")).alias("weighted"),
     ]
 
 
+def rates(totals: DataFrame, window_ms: int) -> DataFrame:
+    """Operations per second and count-weighted mean latency from ``rate_totals``."""
+    total = F.col("operations")
+    return totals.withColumns({
+        "ops_per_second": total * 1000 / F.lit(window_ms),
+        "mean_latency": F.when(total > 0, F.col("weighted") / total),
+    }).drop("weighted")
+
+
 def throughput(measures: DataFrame, window_ms: int) -> DataFrame:
     """Operations per second and count-weighted mean latency by node, operation and tumbling window.
 
     ``time`` is read as milliseconds; windows start at multiples of ``window_ms``. All aggregates combine
     on the map side, so a node with most of the rows costs the shuffle only its distinct windows.
     """
-    start = F.col("time") - F.col("time") % F.lit(window_ms)
-    return measures.groupBy("node", "op", start.alias("window_start")).agg(*_rates(window_ms))
+    return rates(rate_totals(measures, window_ms), window_ms)
 
 
 def throughput_stream(measures: DataFrame, window_ms: int, delay: str) -> DataFrame:
-    """``throughput`` over a stream: a window comes out once the watermark has passed its end."""
+    """``throughput`` over a stream in append mode: a window comes out once, when the watermark has passed its end.
+
+    ``fleetlens.streaming.measures.start_throughput`` keeps the open windows and late measures as well.
+    """
     span = f"{window_ms} milliseconds"
-    return (
+    totals = (
         measures.withColumn("ts", F.timestamp_millis("time"))
         .withWatermark("ts", delay)
         .groupBy("node", "op", F.window("ts", span).alias("_window"))
-        .agg(*_rates(window_ms))
+        .agg(*_totals())
         .withColumn("window_start", F.unix_millis(F.col("_window.start")))
         .drop("_window")
     )
+    return rates(totals, window_ms)
 
 
 def op_mix(measures: DataFrame, requested: DataFrame) -> DataFrame:

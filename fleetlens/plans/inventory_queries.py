@@ -35,11 +35,19 @@ from fleetlens.operators.lookups import (
 )
 from fleetlens.operators.planning import cluster_plan
 from fleetlens.plans.registry import bound
+from fleetlens.plans.updates import last_updates
 from fleetlens.plans.views import EXISTING, INSTANCES, NODE_LINES, PLAN, existing, instances, node_lines, specs, table, text
 from fleetlens.session import scratch_folder
 from fleetlens.sources.files import file_digests
 from fleetlens.sources.inventory import read_inventory
-from fleetlens.streaming.operations import role_counts_stream
+from fleetlens.streaming.operations import (
+    liveness_table,
+    node_liveness_stream,
+    role_count_table,
+    role_counts_stream,
+    start_role_counts,
+)
+from fleetlens.streaming.partials import start_partials
 
 PAGE = 500
 
@@ -273,30 +281,43 @@ _POLLED = f"""{INSTANCES}, polled AS (
 charted(position, label, tag, running) AS (VALUES {_COUNTED})"""
 
 
-@bound(
-    "str4_role_counts_stream",
-    f"""WITH {_POLLED}
+_ROLE_COUNTS = f"""WITH {_POLLED}
     SELECT p.poll_id, position, label, count(*) FILTER (list_contains(tags, tag) AND (NOT running OR status = 'RUNNING')) AS value
-    FROM polled p, charted GROUP BY p.poll_id, position, label""",
-)
+    FROM polled p, charted GROUP BY p.poll_id, position, label"""
+
+
+@bound("str4_role_counts_stream", _ROLE_COUNTS)
 def str4_role_counts_stream(spark, sf_dir):
-    """Update mode: the last counts of a poll stand. One batch reads all polls here."""
+    """Counts of every poll, whose instances arrive in several batches."""
+    feed, polled = _polled_instances(spark, sf_dir)
+    counts = role_count_table(spark, scratch_folder(spark, "role-counts"))
+    start_role_counts(_in_batches(spark, feed, polled), counts, scratch_folder(spark, "role-counts-state")).awaitTermination()
+    return counts.read()
+
+
+def _polled_instances(spark, sf_dir):
     feed = scratch_folder(spark, "polled")
     seen = table(spark, sf_dir, "orders").join(instances(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     status = F.when(F.col("o_orderstatus") == "O", "RUNNING").otherwise(F.col("status"))
-    polled = seen.select((F.col("o_orderkey") % 8).alias("poll_id"), "tags", status.alias("status"))
-    polled.write.parquet(feed)
-    out = scratch_folder(spark, "role-counts")
-    counts = role_counts_stream(spark.readStream.schema(polled.schema).parquet(feed))
+    poll = F.col("o_orderkey") % 8
+    # 2024-01-01 and 4 seconds a poll
+    instant = F.timestamp_millis(F.lit(1_704_067_200_000) + poll * 4000)
+    polled = seen.select(poll.alias("poll_id"), instant.alias("instant"), "tags", status.alias("status"))
+    polled.repartition(6).write.parquet(feed)
+    return feed, polled
+
+
+def _in_batches(spark, feed: str, rows: DataFrame) -> DataFrame:
+    """A stream of two files a batch."""
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(feed)
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = counts.writeStream.outputMode("update").foreachBatch(store)
-    writer.option("checkpointLocation", scratch_folder(spark, "role-counts-state")).trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.parquet(out)
-    newest = stored.groupBy("poll_id", "position", "label").agg(F.max_by("value", "batch").alias("value"))
-    return newest.select("poll_id", "position", "label", "value")
+@bound("str4_role_counts_updates", _ROLE_COUNTS)
+def str4_role_counts_updates(spark, sf_dir):
+    """Update mode with an instant per poll: what the last update of each count says."""
+    feed, polled = _polled_instances(spark, sf_dir)
+    counts = role_counts_stream(_in_batches(spark, feed, polled), "instant")
+    return last_updates(spark, "role-updates", counts, ["poll_id", "position", "label"]).drop("instant")
 
 
 _STATES = "states AS (SELECT 'node-' || user_id AS node, ts, event_id, event_type <> 'error' AS alive FROM events)"
@@ -316,6 +337,30 @@ def agg4_node_liveness(spark, sf_dir):
     return node_liveness(_states(spark, sf_dir), ["ts", "event_id"]).orderBy("node")
 
 
+_LIVENESS = f"WITH {_STATES} SELECT node, alive FROM states QUALIFY row_number() OVER (PARTITION BY node ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def _states_in_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    feed, states = scratch_folder(spark, "states"), _states(spark, sf_dir)
+    states.repartition(6, "event_id").write.parquet(feed)
+    return states, _in_batches(spark, feed, states)
+
+
+@bound("agg4_node_liveness_stream", _LIVENESS)
+def agg4_node_liveness_stream(spark, sf_dir):
+    """States arrive in batches, in no order of time."""
+    states, arriving = _states_in_batches(spark, sf_dir)
+    latest = liveness_table(spark, scratch_folder(spark, "liveness"), states.schema, ["ts", "event_id"])
+    start_partials(arriving, latest, scratch_folder(spark, "liveness-state")).awaitTermination()
+    return latest.read().select("node", "alive")
+
+
+@bound("agg4_node_liveness_updates", _LIVENESS)
+def agg4_node_liveness_updates(spark, sf_dir):
+    _, arriving = _states_in_batches(spark, sf_dir)
+    return last_updates(spark, "alive", node_liveness_stream(arriving, ["ts", "event_id"]), ["node"])
+
+
 @bound(
     "agg4_any_running",
     f"""WITH {_STATES}, latest AS (

@@ -14,11 +14,18 @@ from fleetlens.operators.operations import (
     status_label,
 )
 from fleetlens.plans.registry import bound
+from fleetlens.plans.updates import last_updates
 from fleetlens.plans.views import OPERATIONS, POLLS, operations, polls
 from fleetlens.session import scratch_folder
 from fleetlens.sources.messages import read_messages, write_messages
-from fleetlens.streaming.measures import start
-from fleetlens.streaming.operations import latest_operation_stream, operation_delta_stream, read_polls
+from fleetlens.streaming.operations import (
+    latest_operation_stream,
+    read_feed,
+    read_polls,
+    recent_operations_table,
+    start_operation_feed,
+)
+from fleetlens.streaming.partials import start_partials
 
 _VIEW = """SELECT name, insert_time AS date, start_time AS start, end_time AS "end", progress, status, "user", optype,
   CASE WHEN contains(target_link, '/') THEN regexp_extract(target_link, '[^/]*$') ELSE target_link END AS target
@@ -120,8 +127,9 @@ def _streamed_feed(spark, sf_dir, periods):
         period = rows.filter(F.col("poll_id").between(earliest, latest - 1))
         period.repartition(_FILES).write.mode("append").parquet(feed)
     arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
-    start(operation_delta_stream(arriving), folder, scratch_folder(spark, "news-state")).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(folder)
+    memory, checkpoint = scratch_folder(spark, "news-memory"), scratch_folder(spark, "news-state")
+    start_operation_feed(arriving, folder, memory, checkpoint).awaitTermination()
+    return read_feed(spark, folder, rows.schema)
 
 
 @bound(
@@ -163,19 +171,30 @@ def str2_late_polls(spark, sf_dir):
     return _streamed_feed(spark, sf_dir, ((_TENTH, _TWENTIETH), (0, _TENTH), (_TWENTIETH, _END)))
 
 
-def _updates(spark, purpose: str, stream, keys: list[str]):
-    """The last row per key that a query in update mode gave over all its batches."""
-    out = scratch_folder(spark, purpose)
-
-    def store(batch, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    writer = stream.writeStream.outputMode("update").foreachBatch(store)
-    state = scratch_folder(spark, f"{purpose}-state")
-    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.option("basePath", out).parquet(out)
-    kept = F.struct(*stream.columns)
-    return stored.groupBy(*keys).agg(F.max_by(kept, "batch").alias("_last")).select("_last.*")
+@bound(
+    "str2_hot_name",
+    _FEED.replace("FROM polls p JOIN poll_list", "FROM renamed p JOIN poll_list").replace(
+        "poll_list AS (", """renamed AS (SELECT CASE WHEN poll_id % 3 = 0 THEN 'op-hot' ELSE name END AS name,
+    poll_id * 1000000 + row_number() OVER (PARTITION BY poll_id ORDER BY name) AS poll_id, poll_ms + row_number() OVER (PARTITION BY poll_id ORDER BY name) AS poll_ms,
+    status, start_time, insert_time FROM polls),
+poll_list AS (""").replace("(SELECT DISTINCT poll_id, poll_ms FROM polls)", "(SELECT DISTINCT poll_id, poll_ms FROM renamed)"),
+)
+def str2_hot_name(spark, sf_dir):
+    """A third of all rows under one name, in three batches."""
+    place = F.row_number().over(Window.partitionBy("poll_id").orderBy("name"))
+    name = F.when(F.col("poll_id") % 3 == 0, "op-hot").otherwise(F.col("name"))
+    renamed = polls(spark, sf_dir).withColumn("_place", place).select(
+        name.alias("name"), (F.col("poll_id") * 1_000_000 + F.col("_place")).alias("poll_id"),
+        (F.col("poll_ms") + F.col("_place")).alias("poll_ms"), "status", "start_time", "insert_time")
+    feed, folder = scratch_folder(spark, "hot-polls"), scratch_folder(spark, "hot-news")
+    rows = with_cutoff(renamed, span=100_000_000).select(*_FEED_COLUMNS)
+    for earliest, latest in ((0, _TENTH), (_TENTH, _TWENTIETH), (_TWENTIETH, _END)):
+        period = rows.filter(F.col("poll_id").between(earliest * 1_000_000, latest * 1_000_000 - 1))
+        period.repartition(_FILES).write.mode("append").parquet(feed)
+    arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
+    memory, checkpoint = scratch_folder(spark, "hot-memory"), scratch_folder(spark, "hot-state")
+    start_operation_feed(arriving, folder, memory, checkpoint, span=8_000_000).awaitTermination()
+    return read_feed(spark, folder, rows.schema)
 
 
 @bound(
@@ -190,7 +209,7 @@ def str4_latest_operation_stream(spark, sf_dir):
     for earliest, latest in ((_TWENTIETH, _END), (0, _TENTH), (_TENTH, _TWENTIETH)):
         rows.filter(F.col("poll_id").between(earliest, latest - 1)).repartition(_FILES).write.mode("append").parquet(feed)
     arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
-    return _updates(spark, "latest", latest_operation_stream(arriving, ["poll_id"]), ["name"])
+    return last_updates(spark, "latest", latest_operation_stream(arriving, ["poll_id"]), ["name"])
 
 
 @bound(
@@ -221,3 +240,20 @@ def srt1_many_recent_operations_by_type(spark, sf_dir):
 def srt1_recent_operations_by_type(spark, sf_dir):
     recent = recent_operations(operations(spark, sf_dir), ["insert_time", "o_orderkey"], 50, by="optype")
     return recent.select("optype", "name", "insert_time", "status", "position")
+
+
+@bound(
+    "srt1_recent_operations_by_type_stream",
+    f"""WITH {OPERATIONS} SELECT optype, name, insert_time, status FROM operations
+    QUALIFY row_number() OVER (PARTITION BY optype ORDER BY insert_time DESC, o_orderkey DESC) <= 50""",
+)
+def srt1_recent_operations_by_type_stream(spark, sf_dir):
+    """The capped lists of operations that arrive in batches, in no order of time."""
+    feed = scratch_folder(spark, "live-operations")
+    rows = operations(spark, sf_dir).select("optype", "name", "insert_time", "status", "o_orderkey")
+    rows.repartition(3 * _FILES, "o_orderkey").write.parquet(feed)
+    arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
+    lists = recent_operations_table(
+        spark, scratch_folder(spark, "lists"), rows.schema, ["insert_time", "o_orderkey"], 50, "optype")
+    start_partials(arriving, lists, scratch_folder(spark, "lists-state")).awaitTermination()
+    return lists.read().drop("o_orderkey")

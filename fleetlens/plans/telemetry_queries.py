@@ -27,7 +27,7 @@ from fleetlens.plans.views import MEASURES, NODE_LINES, node_lines, table
 from fleetlens.session import scratch_folder
 from fleetlens.sources.messages import read_messages, write_messages
 from fleetlens.sources.node_output import read_node_output
-from fleetlens.streaming.measures import measure_stream, start
+from fleetlens.streaming.measures import measure_stream, read_throughput, start, start_throughput
 
 HOUR = 3_600_000
 FAILED = "command failed"
@@ -316,15 +316,24 @@ def ran1_throughput(spark, sf_dir):
     return _rounded_rates(throughput(_measures(spark, sf_dir), HOUR))
 
 
+@bound("ran1_throughput_stream", f"WITH {MEASURES} {_throughput_sql(HOUR)}")
+def ran1_throughput_stream(spark, sf_dir):
+    """All windows, open ones as well, of files that arrive in several batches."""
+    measures = measure_stream(spark, _written_lines(spark, sf_dir), max_files_per_trigger=2)
+    folder, checkpoint = scratch_folder(spark, "throughput"), scratch_folder(spark, "throughput-state")
+    start_throughput(measures, folder, checkpoint, HOUR).awaitTermination()
+    return _rounded_rates(read_throughput(spark, folder, HOUR))
+
+
 @bound(
-    "ran1_throughput_stream",
+    "ran1_closed_windows_stream",
     f"""WITH {MEASURES}, rates AS ({_throughput_sql(HOUR)})
     SELECT * FROM rates WHERE window_start + {HOUR} <= (SELECT max(time) FROM measures)""",
 )
-def ran1_throughput_stream(spark, sf_dir):
-    """The windows that have closed once all files are read."""
+def ran1_closed_windows_stream(spark, sf_dir):
+    """The windows that have closed once all files are read, in append mode."""
     measures = measure_stream(spark, _written_lines(spark, sf_dir))
-    folder, checkpoint = scratch_folder(spark, "throughput"), scratch_folder(spark, "throughput-state")
+    folder, checkpoint = scratch_folder(spark, "closed"), scratch_folder(spark, "closed-state")
     rates = throughput_stream(measures, HOUR, "0 seconds")
     start(rates, folder, checkpoint).awaitTermination()
     return _rounded_rates(spark.read.schema(rates.schema).parquet(folder))

@@ -1,5 +1,6 @@
 """Operation views and the change feed."""
 
+import os
 import random
 from datetime import datetime, timezone
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions.times import DAY_MS, iso_millis, wall_millis
+from fleetlens.operators import change_feed
 from fleetlens.operators.change_feed import operation_delta, with_cutoff
 from fleetlens.operators.operations import (
     latest_operation,
@@ -17,8 +19,8 @@ from fleetlens.operators.operations import (
 )
 from fleetlens.operators.sequences import with_previous
 from fleetlens.session import scratch_folder
-from fleetlens.streaming.measures import start
-from fleetlens.streaming.operations import operation_delta_stream, read_polls
+from fleetlens.streaming.partials import Partials, added, newest
+from fleetlens.streaming.operations import feed_memory, read_feed, read_polls, start_operation_feed
 
 T0 = 1_700_000_000_000
 POLLS = "poll_id long, poll_ms long, name string, status string, start_time string, insert_time string"
@@ -144,17 +146,18 @@ def test_stream_of_polls_equals_batch(spark):
         part = [r for r in rows if r[0] // 6 == k]
         as_frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = start(operation_delta_stream(arriving), out, scratch_folder(spark, "state"))
+    memory = scratch_folder(spark, "memory")
+    query = start_operation_feed(arriving, out, memory, scratch_folder(spark, "state"), span=3, compact_every=3)
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 10
-    got = spark.read.schema(schema).parquet(out)
+    got = read_feed(spark, out, schema)
     assert sorted((r.poll_id, r.name) for r in got.collect()) == feed_rule(rows)
     want = operation_delta(as_frame(spark, rows), span=4)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def test_late_polls_come_out_whole_and_unchanged(spark):
-    """A file that arrives hours late loses no row, and microseconds survive the way through Python."""
+    """A file that arrives hours late loses no row, and microseconds survive."""
     rows = [(10, 10, "a", 0), (20, 20, "b", 0), (1, 1, "c", 0)]
     folder, out = scratch_folder(spark, "polls"), scratch_folder(spark, "news")
     for poll, hours, name, _ in rows:
@@ -164,13 +167,98 @@ def test_late_polls_come_out_whole_and_unchanged(spark):
         ).withColumns({"seen": F.lit("2024-01-01 00:00:00.123456").cast("timestamp"),
                        "local": F.lit("2024-01-01 00:00:00.654321").cast("timestamp_ntz")})
         one.coalesce(1).write.mode("append").parquet(folder)
-    query = start(operation_delta_stream(read_polls(spark, folder, one.schema, 1)), out, scratch_folder(spark, "state"))
-    query.awaitTermination()
-    got = spark.read.schema(one.schema).parquet(out)
+    arriving, memory = read_polls(spark, folder, one.schema, 1), scratch_folder(spark, "memory")
+    start_operation_feed(arriving, out, memory, scratch_folder(spark, "state")).awaitTermination()
+    got = read_feed(spark, out, one.schema)
     assert sorted(r.poll_id for r in got.collect()) == [1, 10, 20]
     assert got.filter("date_format(seen, 'SSSSSS') = '123456' and cast(local as string) like '%.654321'").count() == 3
 
 
+POLL_SCHEMA = "poll_id long, poll_ms long, cutoff_ms long, name string, status string, start_time string, insert_time string"
+HOUR = 3_600_000
+
+
+def test_hot_name_in_a_stream_is_spread_over_its_segments(spark):
+    """A third of a batch under one name: as the rule has it, and no task reads more than a few segments of it."""
+    folder, out = scratch_folder(spark, "polls"), scratch_folder(spark, "news")
+    states = ["PENDING", "QUEUED", "RUNNING", "PENDING", "DONE", "QUEUED"]
+    rows = [(k, k * HOUR, k * HOUR - HOUR if k else None, "hot", states[k % 7 % 6], None, text(k * HOUR - HOUR)) for k in range(6000)]
+    rows += [(k, k * HOUR, k * HOUR - HOUR if k else None, f"n{k % 300}-{j}", states[(k // 300 + j) % 6], None, text(k * HOUR - HOUR))
+             for k in range(6000) for j in range(2)]
+    for half in (0, 1):
+        part = spark.createDataFrame([r for r in rows if r[0] // 3000 == half], POLL_SCHEMA)
+        part.repartition(4).write.mode("append").parquet(folder)
+    arriving = read_polls(spark, folder, POLL_SCHEMA, 4)
+    start_operation_feed(arriving, out, scratch_folder(spark, "memory"), scratch_folder(spark, "state"), span=64).awaitTermination()
+    got = sorted((r.poll_id, r.name) for r in read_feed(spark, out, POLL_SCHEMA).collect())
+    plain = [(p, t, c, n, s, None, None if i is None else p * HOUR - HOUR) for p, t, c, n, s, _, i in rows]
+    assert got == feed_rule(plain) and 3000 < len(got) < 18000
+    # what a name's rows meet in: a list per segment
+    segments = change_feed._segments(spark.createDataFrame(rows, POLL_SCHEMA), 64)
+    assert segments.selectExpr("max(size(_rows))").first()[0] == 64
+
+
+def test_entries_after_polls_are_those_of_the_rule(spark):
+    """The feed in two parts, the second from the entries after the first, gives what it gives whole."""
+    rows = random_feed(77, names=9, polls=50)
+    first, second = ([r for r in rows if (r[0] < 25) == early] for early in (True, False))
+    memory = change_feed.feed_entries(as_frame(spark, first), span=3)
+    assert memory.count() == len({r[3] for r in first})
+    got = operation_delta(as_frame(spark, first), span=3).union(operation_delta(as_frame(spark, second), 5, memory))
+    assert sorted((r.poll_id, r.name) for r in got.collect()) == feed_rule(rows)
+    again = change_feed.feed_entries(as_frame(spark, second), memory, span=2)
+    whole = change_feed.feed_entries(as_frame(spark, rows), span=512)
+    seen = again.select("_name")
+    assert again.exceptAll(whole.join(seen, "_name", "left_semi")).count() == 0
+
+
+def test_idle_names_are_forgotten_and_no_late_poll_is_lost(spark):
+    folder, out, memory, state = (scratch_folder(spark, p) for p in ("polls", "news", "memory", "state"))
+    day = 24 * HOUR
+
+    def arrive(now, *polls):
+        rows = [(p, p * HOUR, p * HOUR - HOUR, name, "PENDING", None, text(p * HOUR - HOUR)) for p, name in polls]
+        spark.createDataFrame(rows, POLL_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        arriving = read_polls(spark, folder, POLL_SCHEMA)
+        start_operation_feed(arriving, out, memory, state, clock=lambda: now / 1000, compact_every=1).awaitTermination()
+        return {r["_name"] for r in feed_memory(spark, memory).collect()}
+
+    assert arrive(0, (100, "a"), (100, "b")) == {"=a", "=b"}
+    assert arrive(day // 2, (112, "b"), (112, "c")) == {"=a", "=b", "=c"}
+    # a has been idle for over a day, b and c have not
+    assert arrive(day + HOUR, (125, "d")) == {"=b", "=c", "=d"}
+    # late by days: decided and stored like any other
+    assert arrive(day + 2 * HOUR, (3, "a"), (4, "e")) == {"=a", "=b", "=c", "=d", "=e"}
+    # after a long silence nothing is left but what has just come
+    assert arrive(9 * day, (300, "f")) == {"=f"}
+    news = {(r.poll_id, r.name) for r in read_feed(spark, out, POLL_SCHEMA).collect()}
+    quiet = {(100, "a"), (100, "b"), (112, "b"), (112, "c"), (125, "d"), (3, "a"), (4, "e"), (300, "f")}
+    # none of these is a hit or a change, so none is news; RUNNING ones would be, however late
+    assert news == set()
+    spark.createDataFrame([(p, p * HOUR, p * HOUR - HOUR, n, "RUNNING", None, None) for p, n in quiet], POLL_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    start_operation_feed(read_polls(spark, folder, POLL_SCHEMA), out, memory, state, clock=lambda: 9 * day / 1000).awaitTermination()
+    assert {(r.poll_id, r.name) for r in read_feed(spark, out, POLL_SCHEMA).collect()} == quiet
+
+
+def test_a_batch_that_is_repeated_replaces_itself(spark):
+    """Partial tables after compactions, repeated batches and half-written folders."""
+    rows = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 5)], "k string, at int, v long")
+    sums = Partials(spark, scratch_folder(spark, "sums"), "k string, v long", added(["k"]), compact_every=2)
+    last = Partials(spark, scratch_folder(spark, "last"), rows.schema, newest(["k"], ["at"]), compact_every=2)
+    assert sums.read().collect() == [] and sums.read().columns == ["k", "v"]
+    for number in (0, 1, 1, 2, 2, 3, 4, 4, 5):
+        sums.put(rows.select("k", "v"), number)
+        last.put(rows.withColumn("v", F.col("v") + number), number)
+    assert dict(map(tuple, sums.read().collect())) == {"a": 180, "b": 30}
+    assert dict(map(tuple, sums.read(before=5).collect())) == {"a": 150, "b": 25}
+    assert {(r.k, r.at) for r in last.read().collect()} == {("a", 2), ("b", 1)}
+    # half-written: no _SUCCESS
+    os.makedirs(f"{sums.path}/batch=6")
+    os.makedirs(f"{sums.path}/base=6")
+    assert dict(map(tuple, sums.read().collect())) == {"a": 180, "b": 30}
+    assert len(sums._stored("base")) == 2 and len(sums._stored("batch")) < 6
+
+
 def test_null_and_empty_names_have_their_own_history(spark):
     schema = "poll_id long, poll_ms long, cutoff_ms long, name string, status string, start_time string, insert_time string"
     iso = "1970-01-01T00:00:00.000Z"

@@ -22,7 +22,14 @@ from fleetlens.session import scratch_folder
 from fleetlens.sources.files import file_digests
 from fleetlens.sources.messages import messages, read_messages, write_messages
 from fleetlens.sources.node_output import read_node_output
-from fleetlens.streaming.measures import MEASURE_PERIOD, OPERATION_PERIOD, measure_stream, start
+from fleetlens.streaming.measures import (
+    MEASURE_PERIOD,
+    OPERATION_PERIOD,
+    measure_stream,
+    read_throughput,
+    start,
+    start_throughput,
+)
 
 
 def write(folder, node, name, content):
@@ -188,6 +195,20 @@ def test_throughput_stream_equals_batch_for_closed_windows(spark, tmp_path):
     assert got.select(*closed.columns).exceptAll(closed).count() == 0
 
 
+def test_throughput_kept_per_batch_equals_batch_for_all_windows(spark, tmp_path):
+    """Open windows and late files count: minute 0 arrives last, hours after the others."""
+    fill(tmp_path)
+    partials, checkpoint = scratch_folder(spark, "totals"), scratch_folder(spark, "state")
+    for late in (False, True):
+        if late:
+            write(tmp_path, "a", "late.log", "[READ], 5, 1.5, 3\n[READ], 86400000, 2, 4\n")
+        measures = measure_stream(spark, str(tmp_path), max_files_per_trigger=2)
+        start_throughput(measures, partials, checkpoint, 10_000).awaitTermination()
+        got = read_throughput(spark, partials, 10_000)
+        batch = throughput(parse_measures(read_node_output(spark, str(tmp_path))), 10_000)
+        assert got.columns == batch.columns and got.exceptAll(batch).count() == 0 and got.count() == batch.count() > 20
+
+
 def test_periods():
     assert (MEASURE_PERIOD, OPERATION_PERIOD) == ("1 second", "4 seconds")
 
