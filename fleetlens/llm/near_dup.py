@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import components, cut
+from fleetlens.llm.common import components, cut, small_batches
 from fleetlens.session import ship_package
 
 REGISTERS = 384
@@ -42,6 +42,7 @@ MANTISSA = 8
 VALUE_BITS = 48
 SHINGLE = 5
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
 # Odd 64-bit constants for mixing.
 ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
@@ -141,20 +142,26 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, pe
     return (estimate >= t - 4 * error) & (100 * low >= percent * high)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in _slices(batches, 1000):
             sizes, keys, sketches = [], [], []
-            for text in batch.column("text"):
+            for text in part.column("text"):
                 found = shingles(text.as_py())
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sketches.append(sketch(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(sketches, pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "sketch"],
             )
@@ -169,21 +176,17 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, band, rep): a row per band of each class."""
+    """(rep, bands): the keys of all bands of each class, in their order."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                keys = band_keys(_registers(part.column("sketch")))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
-                     part.column("rep").take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))],
-                    names=["key", "band", "rep"],
-                )
+        for part in _slices(batches, 2000):
+            keys = band_keys(_registers(part.column("sketch")))
+            offsets = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["rep", "bands"])
 
-    return classes.select("rep", "sketch").mapInArrow(spread, f"key long, band int, rep {kind}")
+    return classes.select("rep", "sketch").mapInArrow(spread, f"rep {kind}, bands array<long>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -191,14 +194,14 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in _slices(batches, 200):
             reps, found = [], []
-            for rep, key, text in zip(batch.column("rep").to_pylist(), batch.column("set_key").to_pylist(), batch.column("text")):
+            for rep, key, text in zip(part.column("rep").to_pylist(), part.column("set_key").to_pylist(), part.column("text")):
                 raw = shingles(text.as_py()).tobytes()
                 if hashlib.blake2b(raw, digest_size=16).digest() == key:  # a doc_id may have had several texts
                     reps.append(rep), found.append(raw)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(reps, batch.schema.field("rep").type), pa.array(found, pa.binary())], names=["rep", "hashes"]
+                [pa.array(reps, part.schema.field("rep").type), pa.array(found, pa.binary())], names=["rep", "hashes"]
             )
 
     wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(classes.select("rep", "set_key"), "rep")
@@ -313,7 +316,7 @@ def _open_buckets(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
         "key", "band", "rep", F.coalesce("component", "rep").alias("group")
     )
     several = known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    return known.join(several.select("key"), "key", "left_semi")
+    return known.join(cut(several.select("key"), "open-keys"), "key", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -346,7 +349,7 @@ def _by_stars(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
     """Links of one row per block of a bucket with the others of its block, confirmed."""
     kind = rows.schema["rep"].dataType.simpleString()
     turn = F.xxhash64("rep", F.lit(11))
-    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    parts = cut(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1"), "large-buckets")
     blocks = rows.join(parts, "key", "left").withColumns({
         "turn": turn, "i": F.pmod(turn, F.coalesce("parts", F.lit(1).cast("long"))), "j": F.lit(0).cast("long"),
     })
@@ -355,17 +358,24 @@ def _by_stars(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
     return _confirmed(pairs, sets, percent)
 
 
-def _by_all(rows: DataFrame, dressing: DataFrame, percent: int) -> DataFrame:
+def _by_all(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the groups of a bucket: blocks of rows outside the largest group meet blocks of all rows."""
     kind = rows.schema["rep"].dataType.simpleString()
     zero = F.lit(0).cast("long")
-    per_group = rows.groupBy("key", "group").agg(F.count("*").alias("n"))
+    # blocks are of so many rows and so many bytes
+    per_group = rows.join(sketches.select("rep", "n_shingles"), "rep").groupBy("key", "group").agg(
+        F.count("*").alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+
+    def parts(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1))
+
     sizes = per_group.groupBy("key").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("largest")
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "group", "bytes")).alias("largest")
     ).select(
-        "key", F.col("largest.group").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("parts"),
-        F.greatest(F.ceil((F.col("n") - F.col("largest.n")) / BLOCK), F.lit(1)).alias("minor_parts"),
+        "key", F.col("largest.group").alias("largest"), parts(F.col("n"), F.col("bytes")).alias("parts"),
+        parts(F.col("n") - F.col("largest.n"), F.col("bytes") - F.col("largest.bytes")).alias("minor_parts"),
     )
+    sizes = cut(sizes, "bucket-sizes")
     known = rows.join(sizes, "key").withColumns({
         "minor": (F.col("group") != F.col("largest")).cast("int"), "turn": F.xxhash64("rep", F.lit(11)),
     })
@@ -376,7 +386,7 @@ def _by_all(rows: DataFrame, dressing: DataFrame, percent: int) -> DataFrame:
         "side": F.lit(1), "j": F.pmod(F.xxhash64("rep", F.lit(12)), F.col("parts"))
     }).withColumn("i", F.explode(F.sequence(zero, F.col("minor_parts") - 1)))
     blocks = left.unionByName(right).drop("largest", "parts", "minor_parts")
-    dealt = _dealt(blocks, dressing, ["key", "i", "j", "side", "minor", "band", "rep", "group"])
+    dealt = _dealt(blocks, sketches.join(sets, "rep"), ["key", "i", "j", "side", "minor", "band", "rep", "group"])
     return dealt.mapInArrow(_settle(percent), f"a {kind}, b {kind}").distinct()
 
 
@@ -386,7 +396,11 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) for every row: links are pairs of documents whose shared shingles are
     at least ``percent`` in a hundred of their union; a component is named by its smallest doc_id."""
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), percent)
+
+
+def _near_duplicates(texts: DataFrame, percent: int) -> DataFrame:
     every = cut(_sketches(texts), "doc-sketches")
     sound = every.where("doc_id is not null and n_shingles > 0")
     firsts = sound.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
@@ -396,9 +410,10 @@ def near_duplicates(
         .withColumnRenamed("doc_id", "rep"),
         "doc-classes",
     )
-    bands = _bands(classes)
+    bands = cut(_bands(classes), "doc-bands").select(F.posexplode("bands").alias("band", "key"), "rep")
     shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    buckets = cut(bands.join(shared.select("key"), "key", "left_semi"), "doc-buckets")
+    # stored first: of known size, it is sent to the tasks where it is small, and else hot keys are split where they join
+    buckets = cut(bands.join(cut(shared.select("key"), "shared-keys"), "key", "left_semi"), "doc-buckets")
     met = cut(classes.join(buckets.select("rep").distinct(), "rep", "left_semi"), "doc-met")
     sketches = met.select("rep", "n_shingles", "sketch")
     sets = cut(_sets(texts, met), "doc-sets")
@@ -406,7 +421,7 @@ def near_duplicates(
     groups = cut(components(links), "doc-groups")
     for last in (False, True):
         rows = cut(_open_buckets(buckets if last else buckets.where(F.col("band") >= BANDS // 4), groups), "open-buckets")
-        found = _by_all(rows, sketches.join(sets, "rep"), percent) if last else _by_stars(rows, sketches, sets, percent)
+        found = (_by_all if last else _by_stars)(rows, sketches, sets, percent)
         # what is already joined counts as one star per group
         stars = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         groups = cut(components(stars.union(cut(found, "doc-links"))), "doc-groups")
