@@ -7,7 +7,8 @@ texts, minimises the non-negative unbiased risk: prior times the positives' loss
 negatives less the positives' part of it, where a negative estimate of the latter is pushed back up.
 
 Defined results: null and empty texts have the statistics of no characters and are scored like any other;
-labels of null id or other than 1 are not used; repeated rows come out each; without any positive every score
+labels of null id or other than 1 are not used; repeated rows come out each, and an id counts once in training however
+many rows it has; without any positive every score
 is 0.5; an empty table gives no rows; columns other than id and text are never read for a score.
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.sampling import fold, sample_ids
@@ -82,6 +83,30 @@ def _forward(weights, z):
     return hidden, hidden @ weights[2] + weights[3][0]
 
 
+def risk_gradient(out: np.ndarray, n: int, prior: float | None) -> tuple[float, np.ndarray]:
+    """The risk of outputs, of which the first ``n`` are of positives and the others of unlabelled texts, and its
+    derivative by each output (where the unlabelled part is negative, of what is minimised instead: minus that part).
+
+    Without a prior, plain positive against unlabelled.
+    """
+    m = len(out) - n
+    as_negative = np.logaddexp(0, out)
+    as_positive = as_negative - out
+    # derivative of the logistic loss: as positive sure - 1, as negative sure
+    sure = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    grad = np.empty(len(out), np.float32)
+    if prior is None:
+        grad[:n], grad[n:] = (sure[:n] - 1) / n, sure[n:] / m
+        return float(as_positive[:n].mean() + as_negative[n:].mean()), grad
+    trusted = prior * as_positive[:n].mean()
+    rest = as_negative[n:].mean() - prior * as_negative[:n].mean()
+    if rest >= 0:
+        grad[:n], grad[n:] = -prior / n, sure[n:] / m
+    else:  # the negative part has been fitted below zero: only push it back
+        grad[:n], grad[n:] = prior * sure[:n] / n, -sure[n:] / m
+    return float(trusted + max(0.0, rest)), grad
+
+
 def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, seed: int):
     """Weights after ``steps`` of Adam; without a prior, plain positive against unlabelled."""
     draw = np.random.default_rng(seed)
@@ -98,19 +123,7 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, st
         strips = z.reshape(16, 64, -1)
         hidden, out = _forward(weights, strips)
         hidden, out = hidden.reshape(len(z), -1), out.ravel()
-        sure = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-        # derivative of the logistic loss: as positive sure - 1, as negative sure
-        grad = np.empty(len(z), np.float32)
-        if prior is None:
-            grad[:512], grad[512:] = (sure[:512] - 1) / 512, sure[512:] / 512
-        else:
-            as_negative = np.logaddexp(0, out)
-            risk = as_negative[512:].mean() - prior * as_negative[:512].mean()
-            if risk >= 0:
-                grad[:512] = prior * ((sure[:512] - 1) - sure[:512]) / 512
-                grad[512:] = sure[512:] / 512
-            else:  # the negative part has been fitted below zero: only push it back
-                grad[:512], grad[512:] = prior * sure[:512] / 512, -sure[512:] / 512
+        grad = risk_gradient(out, 512, prior)[1]
         back = np.outer(grad, weights[2]) * (1 - hidden**2)
         grads = [(strips.transpose(0, 2, 1) @ back.reshape(16, 64, -1)).sum(0), back.sum(0), hidden.T @ grad, np.array([grad.sum()])]
         rate = 0.01 * min(1, 2 * (1 - step / (steps + 1)))
@@ -175,13 +188,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 800, seed:
     return Model(mean, scale, weights, prior, at, to)
 
 
-def _with_features(docs: DataFrame) -> DataFrame:
+def _features_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, x): the statistics of one text of each id, the smallest where an id has several."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t.as_py() or "").astype(np.float32).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], names=["doc_id", "x"])
 
-    return docs.select("text").mapInArrow(extract, "x binary")
+    found = texts.select("doc_id", "text").mapInArrow(extract, f"doc_id {kind}, x binary")
+    return found.groupBy("doc_id").agg(F.min("x").alias("x"))
 
 
 def _matrix(rows) -> np.ndarray:
@@ -189,40 +206,45 @@ def _matrix(rows) -> np.ndarray:
     return flat.reshape(-1, N_FEATURES).astype(np.float64)
 
 
-def train(
+def gathered(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     folds: int = 5, held_out: int = 0, max_positive: int = 10_000, max_unlabelled: int = 20_000,
-) -> Model | None:
-    """Fits on at most ``max_positive`` trusted positives and ``max_unlabelled`` documents, both taken by hash from
-    outside the held-out fold. The bounds are what the driver gathers (0.5 kB of statistics a document)."""
-    ship_package(docs.sparkSession)
+) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of trusted positives and of unlabelled documents, one row per id: what the driver holds."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     open_fold = fold("doc_id", folds) != held_out
     trusted = sample_ids(marked.where(open_fold & (F.col("label") == 1)), max_positive, 1).select("doc_id")
     plain = sample_ids(texts.where(open_fold).select("doc_id"), max_unlabelled, 2)
-    gathered = [
-        # the sample's bound is a parameter, so it may be sent to every task instead of shuffling all texts
-        _matrix(_with_features(texts.join(F.broadcast(ids), "doc_id")).collect())
-        for ids in (trusted, plain)
-    ]
-    return fit(*gathered)
+    # the sample's bound is a parameter, so it may be sent to every task instead of shuffling all texts
+    rows = [_features_of(texts.join(F.broadcast(ids), "doc_id")).orderBy("doc_id").collect() for ids in (trusted, plain)]
+    return _matrix(rows[0]), _matrix(rows[1])
 
 
-def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the documents and ``score``: how likely each whole text is a positive."""
+def train(docs: DataFrame, labels: DataFrame, **bounds) -> Model | None:
+    """Fits on at most ``max_positive`` trusted positives and ``max_unlabelled`` documents, both taken by hash of their
+    ids from outside the held-out fold (see ``gathered``). The bounds are what the driver gathers, 0.5 kB of statistics
+    a document; rows that repeat an id count once."""
     ship_package(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "score"]
+    return fit(*gathered(docs, labels, **bounds))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.full(batch.num_rows, 0.5)
-            if model is not None and batch.num_rows:
-                # float32, as the training features are
-                x = np.stack([features(t.as_py() or "").astype(np.float32) for t in batch.column(text_col)])
-                found = model.score(x.astype(np.float64))
-            columns = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=[*kept, "score"])
-
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return docs.select(*kept).mapInArrow(add, ", ".join([*kinds, "score double"]))
+
+def scored(text: Column, model: Model | None) -> Column:
+    """How likely a whole text is a positive, as a column; nothing but the text goes through Python."""
+
+    def find(texts: pa.Array) -> pa.Array:
+        found = np.full(len(texts), 0.5)
+        if model is not None and len(texts):
+            # float32, as the training features are
+            x = np.stack([features(t.as_py() or "").astype(np.float32) for t in texts])
+            found = model.score(x.astype(np.float64))
+        return pa.array(found, pa.float64())
+
+    find.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(find, "double")(text)
+
+
+def score(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """All columns of the documents and ``score`` (see ``scored``), which replaces one of that name."""
+    ship_package(docs.sparkSession)
+    return docs.withColumn("score", scored(F.col(text_col), model))
