@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by largest inner product: one robust-pruned directed graph per shard.
 
-Distinct vectors are dealt to shards by hash. A shard appends one component to each vector so that all have the same
+Distinct vectors are dealt to shards by length and hash. A shard appends one component to each vector so that all have the same
 length; the largest inner product is then the smallest distance. Points enter the graph in growing batches: greedy
 search from the middle point proposes neighbours, and a neighbour is kept only if no kept one is closer to it by a
 relaxed factor, so that edges point in many directions. A second pass runs over all points. Queries walk the graph of
@@ -8,8 +8,8 @@ every shard with a beam, in blocks, and what the shards find is ranked by the ex
 
 All steps of a batch are array operations over the whole batch; nothing loops over single points.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, or whose length is not the most
-frequent one, take no part; equal vectors are one point, whose smallest ids are given first; a query does not find its
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; the candidates of a
+query are the vectors of its own length; equal vectors are one point, whose smallest ids are given first; a query does not find its
 own id; with fewer candidates than ``k`` all are given; an empty table gives no rows; other columns are not read.
 """
 
@@ -199,12 +199,14 @@ def _search_shard(k: int, beam: int, block: int):
 
 def nearest(
     vectors: DataFrame, queries: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    shard_rows: int = 8_192, beam: int = 96, query_block: int = 512,
+    shard_rows: int = 8_192, beam: int = 96, query_block: int = 512, query_rows: int = 65_536,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest that were found for every row for which ``queries`` is true.
 
-    A shard holds about ``shard_rows`` distinct vectors and sees all queries; a task holds one shard with its graph
-    at a time and one batch of queries, however many there are.
+    A shard holds about ``shard_rows`` distinct vectors of one length and sees all queries of that length. Each shard is
+    a task of its own, and one more for every further ``query_rows`` queries: a task builds the graph of its shard, then
+    holds one batch of queries at a time. So queries times shards are walks: with both growing, time grows with the
+    product.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -212,21 +214,32 @@ def nearest(
         F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")
     ).where(F.col("id").isNotNull() & usable(F.col("vector")))
     sound = cut(rows.withColumn("length", F.size("vector")), "ann-vectors")
-    lengths = sound.groupBy("length").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
-    length = lengths["length"] if lengths else 0
-    sound = sound.where(F.col("length") == length)
     # -0.0 and 0.0 are one value to a grouping, as they are to a product
     points = cut(
-        sound.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "ann-points"
+        sound.groupBy("length", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "ann-points"
     )
-    shards = max(1, -(-points.count() // shard_rows))
+    asked = sound.where("asked").select("length", "id", "vector").distinct()
+    # one row per length of vectors: how many shards, how many tasks a shard, and the number of its first task
+    before = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
+    plan = cut(
+        points.groupBy("length").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+        .join(asked.groupBy("length").agg(F.ceil(F.count("*") / query_rows).alias("chunks")), "length")
+        .withColumn("first", F.coalesce(F.sum(F.col("shards") * F.col("chunks")).over(before), F.lit(0))), "ann-plan"
+    )
+    tasks = plan.agg(F.coalesce(F.sum(F.col("shards") * F.col("chunks")), F.lit(1)).alias("n")).first()["n"]
     kind = sound.schema["id"].dataType.simpleString()
-    own = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "vector")
-    asked = sound.where("asked").select("id", "vector").distinct()
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    rows = own.unionByName(everywhere.select("shard", F.lit(1).alias("kind"), "id", "vector"))
+
+    def every(number: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
+
+    shard = (F.col("first") + F.col("part") * F.col("chunks") + F.col("chunk")).alias("shard")
+    own = points.join(plan, "length").withColumn("part", F.pmod(F.xxhash64("id"), F.col("shards"))).select(
+        "*", every("chunks").alias("chunk")).select(shard, F.lit(0).alias("kind"), "id", "vector")
+    everywhere = asked.join(plan, "length").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks"))).select(
+        "*", every("shards").alias("part")).select(shard, F.lit(1).alias("kind"), "id", "vector")
     # sorted by Spark, on disk where need be, so that queries stream past the graph of their shard
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    dealt = own.unionByName(everywhere).repartitionById(int(tasks), F.col("shard").cast("int"))
+    dealt = dealt.sortWithinPartitions("shard", "kind", "id")
     found = cut(
         dealt.mapInArrow(_search_shard(k, beam, query_block), f"query_id {kind}, point {kind}, score double"), "ann-found"
     )

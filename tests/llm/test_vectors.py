@@ -51,15 +51,48 @@ def brute_links(rows, cosine=0.93):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_rows, pivots", [(2048, 16), (7, 5), (2048, 0)])
+@pytest.mark.parametrize("block_rows, pivots", [(2048, 16), (7, 60), (7, 5), (2048, 0), (7, 1000)])
 def test_range_join_finds_all_links(spark, block_rows, pivots):
-    rows = clustered(260) + unusual(900) + [(7, clustered(8)[7][1], 1)]
+    # ids that are repeated with the same vector and label, with another vector, and with another label
+    rows = clustered(260) + unusual(900) + [(7, clustered(8)[7][1], 1), (8, clustered(12)[11][1], 2), (9, clustered(20)[19][1], 2)]
     vectors = with_clashes(spark.createDataFrame(rows, SCHEMA))
     got = range_join.near_vectors(vectors, block_rows=block_rows, pivots=pivots).collect()
     assert sorted((r["id"], r["n_links"], r["component_id"]) for r in got) == brute_links(rows)
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got)
 
 
+def test_pairs_are_compared_once_in_one_cell():
+    """Every pair within the radius meets in exactly one cell, at home there on one side at least."""
+    draw = np.random.default_rng(9)
+    x = range_join._unit(draw.normal(size=(40, 6))[draw.integers(0, 40, 500)] + 0.15 * draw.normal(size=(500, 6)))
+    radius = float(np.sqrt(2 - 2 * 0.93))
+    pivots = range_join.farthest_first(x[:200], 24)
+    home, cells = range_join.cells_of(x, pivots, radius)
+    assert cells[np.arange(len(x)), home].all() and not (cells & (np.arange(24)[None, :] > home[:, None])).any()
+    near = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    assert len(near) > 500
+    for a, b in near:
+        met = [c for c in np.flatnonzero(cells[a] & cells[b]) if c in (home[a], home[b])]
+        assert min(home[a], home[b]) in met
+        assert sum(c == home[a] or c == home[b] for c in met) == 1 or home[a] != home[b]
+
+
+def test_pivots_prune_where_vectors_cluster(spark):
+    """Clusters of their own: a vector reaches less than a quarter of the cells. Vectors at like distances: few pivots."""
+    draw = np.random.default_rng(1)
+    centers = draw.normal(size=(200, 64))
+    near = centers[draw.integers(0, 200, 6000)] + 0.1 * draw.normal(size=(6000, 64))
+    radius = float(np.sqrt(2 - 2 * 0.93))
+    rows = [(n, v, 0) for n, v in enumerate(np.float32(near).tolist())]
+    classes = spark.createDataFrame(rows, "id long, vector array<float>, label int").withColumn("copies", F.lit(1).cast("long"))
+    pivots = range_join._sampled_pivots(classes, radius, 512, 256, 4096)
+    cells = range_join.replicated(classes, pivots, radius)
+    n = len(pivots[0, 64])
+    assert n >= 64 and cells.count() / 6000 < n / 4
+    even = range_join.choose_pivots(range_join._unit(draw.normal(size=(2000, 64))), 50_000, radius, 256)
+    assert len(even) <= 16
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert range_join.near_vectors(none).collect() == []
@@ -89,6 +122,56 @@ def test_nearest_with_ties_and_unusual_vectors(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-12)
 
 
+@pytest.mark.parametrize("query_rows", [65_536, 3])
+def test_every_length_takes_part(spark, query_rows):
+    """Queries find the nearest of their own length; a length without queries, or a query alone in its length, does no harm."""
+    draw = np.random.default_rng(6)
+    rows = [(n, draw.normal(size=(3, 5, 2)[n % 3]).tolist(), 0) for n in range(240)] + [(901, [1.0], 0), (920, [2.0] * 9, 0)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    found = graph_search.nearest(vectors, (F.col("vec_id") % 20 == 0) & (F.size("embedding") != 2), shard_rows=30, query_rows=query_rows)
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    held = dict((i, np.float32(v).astype(float)) for i, v, _ in rows)
+    asked = [i for i in held if i % 20 == 0 and len(held[i]) in (3, 5)]
+    assert sorted(got) == asked and len(asked) == 8
+    for q in asked:
+        same = [i for i in held if len(held[i]) == len(held[q]) and i != q]
+        assert got[q] == sorted(same, key=lambda i: (-(held[i] @ held[q]), i))[:20]
+
+
+def test_each_shard_is_a_task(spark):
+    """No task holds two shards: tasks are numbered, not hashed."""
+    draw = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(n, draw.normal(size=4).tolist(), 0) for n in range(400)], SCHEMA)
+    seen = []
+    plain = graph_search._search_shard
+
+    def spy(k, beam, block):
+        search = plain(k, beam, block)
+
+        def count(batches):
+            shards = set()
+
+            def watched():
+                for batch in batches:
+                    shards.update(batch.column("shard").to_pylist())
+                    yield batch
+
+            yield from search(watched())
+            assert len(shards) <= 1, shards
+
+        seen.append(1)
+        return count
+
+    graph_search._search_shard = spy
+    try:
+        assert graph_search.nearest(vectors, F.col("vec_id") % 20 == 0, shard_rows=50).count() == 400
+    finally:
+        graph_search._search_shard = plain
+    assert seen
+
+
 def test_queries_stream_past_the_graph_of_their_shard():
     draw = np.random.default_rng(4)
     sent = []
