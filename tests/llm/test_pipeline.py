@@ -2,14 +2,17 @@ import ast
 import inspect
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import prose
-from fleetlens.llm import common, mixing
+from fleetlens.llm import common, mixing, quality, toxicity
 from fleetlens.llm.queries import QUERIES
 from test_mixing import size
 from test_near_dup import brute, edited
+from test_packing import check_places, expected
 
 
 def test_stages_and_entry():
@@ -18,7 +21,7 @@ def test_stages_and_entry():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     # the pipeline hides no failed import
     assert not any(isinstance(n, ast.Try) for n in ast.walk(ast.parse(inspect.getsource(corpus_pipeline))))
 
@@ -97,6 +100,81 @@ def test_mixing_stage_repeats_rows_as_often_as_they_are_taken(spark):
     assert all(n <= 2 * there[key] for key, n in copies.items())
 
 
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """The corpus with junk and insults, columns named like results, and labels for some of it."""
+    rows = [(i, t, s) for i, t, s in corpus()]
+    for n in range(900):
+        text = prose(500 + n, 30)
+        if n % 3 == 0:
+            text = " ".join(w + "###" for w in text.split())
+        elif n % 5 == 0:
+            text += ". you blorgh snerkle."
+        rows.append((100 + n, text, "ab"[n % 2]))
+    folder = str(tmp_path_factory.mktemp("sf"))
+    labels = [(100 + n, int(n % 3 != 0), int(n % 3 != 0 and n % 5 == 0)) for n in range(900)] + [(None, 1, 1), (1, 1, 0), (2, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    docs = table_of(spark, rows).withColumns({"score": F.lit(7.0), "offending": F.lit("mine"), "label": F.lit(3), "x": F.lit("y")})
+    return rows, docs.cache(), folder
+
+
+def texts_of(df):
+    rows = df.collect()
+    assert all((r["score"], r["offending"]) == (7.0, "mine") for r in rows)
+    return Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
+
+
+def test_quality_stage_against_brute_force(spark, labelled):
+    rows, docs, folder = labelled
+    got = corpus_pipeline.quality_stage(spark, docs, folder)
+    assert got.columns == docs.columns
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+    def good(text):
+        x = quality.features(text or "").astype(np.float32).astype(np.float64)
+        return model.score(x[None, :])[0] >= 0.3
+
+    kept = texts_of(got)
+    assert kept == Counter(r for r in rows if good(r[1]))
+    # with so few labels the model is rough, but junk goes rather than the rest
+    junk = sum("###" in (t or "") for _, t, _ in kept) / 300
+    rest = sum(i is not None and i >= 100 and "###" not in t for i, t, _ in kept) / 600
+    assert rest > 0.6 and junk < rest - 0.3
+
+
+def test_toxicity_stage_against_brute_force(spark, labelled):
+    rows, docs, folder = labelled
+    got = corpus_pipeline.toxicity_stage(spark, docs, folder)
+    assert got.columns == docs.columns
+    scorer = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet")).scorer()
+    kept = texts_of(got)
+    assert kept == Counter(r for r in rows if scorer(r[1] or "")[1] < 0.3)
+    assert not any(t and "blorgh" in t for _, t, _ in kept) and any(t is None for _, t, _ in kept)
+
+
+def test_packing_stage_against_brute_force(spark, labelled):
+    rows, docs, folder = labelled
+    packed = corpus_pipeline.packing_stage(spark, docs, folder).collect()
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+    assert got == expected([r[:2] for r in rows])
+    check_places(packed)
+
+
+def test_recall_of_the_near_duplicate_stage_by_similarity(spark):
+    """Copies that are less alike than 0.8 are no links; all that are, are found."""
+    rows, want = [], {}
+    for n in range(60):
+        text = prose(900 + n, 400)
+        copy = edited(text, n, 1 + n % 12)
+        rows += [(2 * n, text, "a"), (2 * n + 1, copy, "a")]
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, table_of(spark, rows), "").collect()}
+    alike = {i: low for i, _, low in brute([r[:2] for r in rows], 80)}
+    assert got == {i for i, low in alike.items() if i == low}
+    assert 10 < sum(i != low for i, low in alike.items()) < 55  # both sides of the threshold are there
+
+
 def test_stages_on_empty_tables(spark, no_docs):
-    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.mixing_stage):
+    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.mixing_stage, corpus_pipeline.packing_stage):
         assert stage(spark, no_docs, "").collect() == []
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage):
+        assert stage(spark, no_docs, "/root/testdata/sf0.001").collect() == []
