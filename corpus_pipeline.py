@@ -22,13 +22,13 @@ NEAR_PERCENT = 80
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good ones; the others go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= REJECT_QUALITY_BELOW).select(*docs.columns)
+    return docs.where(quality.scored(F.col("text"), model) >= REJECT_QUALITY_BELOW)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not score as toxic; the others go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("score") < REJECT_TOXIC_FROM).select(*docs.columns)
+    return docs.where(toxicity.scored(F.col("text"), model)["score"] < REJECT_TOXIC_FROM)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
