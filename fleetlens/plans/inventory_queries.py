@@ -113,19 +113,24 @@ def prj6_inventory_view(spark, sf_dir):
     return inventory_view(read_inventory(spark, folder, "disks"), "disks")
 
 
+# Lines of a file that is digested.
+_LINES = 1000
+
+
 @bound(
     "src4_file_digests",
     f"""WITH {NODE_LINES}, texts AS (
-      SELECT node, string_agg(line || chr(10), '' ORDER BY seq) AS text FROM node_lines GROUP BY node)
-    SELECT 'node=' || node AS folder, strlen(text) AS length, regexp_replace(md5(text), '^0+(.)', '\\1') AS digest
+      SELECT node, seq // {_LINES} AS part, string_agg(line || chr(10), '' ORDER BY seq) AS text FROM node_lines GROUP BY ALL)
+    SELECT 'part=' || part AS folder, strlen(text) AS length, regexp_replace(md5(text), '^0+(.)', '\\1') AS digest
     FROM texts""",
 )
 def src4_file_digests(spark, sf_dir):
-    """The node output files, one per node."""
+    """The node output files, so many lines a file."""
     folder = scratch_folder(spark, "digested")
-    lines = node_lines(spark, sf_dir).repartition("node").sortWithinPartitions("node", "seq")
-    lines.select("node", "line").write.partitionBy("node").text(folder)
-    return file_digests(spark, f"{folder}/*/*.txt").select("folder", "length", "digest")
+    lines = node_lines(spark, sf_dir).withColumn("part", block(F.col("seq"), _LINES))
+    dealt = lines.repartition("node", "part").sortWithinPartitions("node", "part", "seq")
+    dealt.select("node", "part", "line").write.partitionBy("node", "part").text(folder)
+    return file_digests(spark, f"{folder}/*/*/*.txt").select("folder", "length", "digest")
 
 
 # What the supplied tables give for the kinds of listings that are neither instances nor disks.

@@ -11,7 +11,6 @@ from fleetlens.functions.times import wall_millis
 from fleetlens.operators.keyspace import TEST_RUN_PROPORTIONS
 from fleetlens.operators.lines import split_lines
 from fleetlens.operators.telemetry import (
-    arrival,
     measure_wide,
     node_error_text,
     node_series,
@@ -51,25 +50,48 @@ def _shown_series(series: DataFrame) -> DataFrame:
     return series.withColumn("points", F.array_join(F.transform("points", shown), " "))
 
 
+_LINES_PER_FILE = 2000
+
+
+def _write_nodes(lines: DataFrame, order: str, folder: str) -> None:
+    """Files of bounded size, one folder per node; names follow the order of lines."""
+    ranged = lines.repartitionByRange("node", order).sortWithinPartitions("node", order)
+    writer = ranged.select("node", "line").write.option("maxRecordsPerFile", _LINES_PER_FILE)
+    writer.partitionBy("node").text(folder)
+
+
 def _written_lines(spark, sf_dir) -> str:
-    """Node output as files, one folder per node, lines in order."""
+    """Node output as files."""
     folder = scratch_folder(spark, "node-output")
-    lines = node_lines(spark, sf_dir).repartition("node").sortWithinPartitions("node", "seq")
-    lines.select("node", "line").write.partitionBy("node").text(folder)
+    _write_nodes(node_lines(spark, sf_dir), "seq", folder)
     return folder
 
 
-# The same lines in three files per node, one after the other; nodes with an odd number fail in the second one.
+def _arrived(lines: DataFrame) -> DataFrame:
+    """``node``, ``seq``, ``line`` with the place among all lines of the node.
+
+    Files were written by one job, so their names and not their times are in order. Lines are counted per split of a
+    file, the counts are summed up per node, and only lines of one split are ordered in one task.
+    """
+    split = ["node", "file", "split"]
+    counts = lines.groupBy(*split).agg(F.count("*").alias("_lines"))
+    before = Window.partitionBy("node").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    place = F.row_number().over(Window.partitionBy(*split).orderBy("seq", "piece")) - 1
+    placed = lines.withColumn("_place", place).join(starts, split)
+    return placed.select("node", (F.col("_start") + F.col("_place")).alias("seq"), "line")
+
+
+# The same lines in files one after the other; nodes with an odd number fail half way through them.
 _ROLLED = f"""WITH {MEASURES},
 known AS (SELECT line FROM measures),
 bounds AS (SELECT min(seq) AS low, max(seq) AS high FROM node_lines),
 rolled AS (
-  SELECT node, line, 2 * seq AS turn, 3 * (seq - low) // (high - low + 1) AS file, false AS failed FROM node_lines, bounds
-  UNION ALL SELECT DISTINCT node, '{FAILED}', 2 * ((low + high) // 2) + 1, 1, true FROM node_lines, bounds
+  SELECT node, line, 2 * seq AS turn, false AS failed FROM node_lines
+  UNION ALL SELECT DISTINCT node, '{FAILED}', 2 * ((low + high) // 2) + 1, true FROM node_lines, bounds
   WHERE node IN ('node-1', 'node-3')),
 arrived AS (
-  SELECT *, row_number() OVER (PARTITION BY node ORDER BY turn) - 1 AS place,
-    row_number() OVER (PARTITION BY node, file ORDER BY turn) - 1 AS seq,
+  SELECT node, line, row_number() OVER (PARTITION BY node ORDER BY turn) - 1 AS seq,
     coalesce(max(failed) OVER (PARTITION BY node ORDER BY turn), false) AS after
   FROM rolled)"""
 
@@ -80,67 +102,50 @@ def _rolled_lines(spark, sf_dir) -> str:
     low, high = lines.agg(F.min("seq"), F.max("seq")).first()
     marks = lines.filter(F.col("node").isin("node-1", "node-3")).select("node").distinct().select(
         "node", F.lit(2 * ((low + high) // 2) + 1).alias("at"), F.lit(FAILED).alias("line"))
-    part = F.call_function("div", 3 * (F.col("seq") - low), F.lit(high - low + 1))
-    rolled = lines.select("node", (2 * F.col("seq")).alias("at"), "line", part.alias("part")).unionByName(
-        marks.withColumn("part", F.lit(1)))
-    for number in range(3):
-        file = rolled.filter(F.col("part") == number).repartition("node").sortWithinPartitions("node", "at")
-        file.select("node", "line").write.mode("append").partitionBy("node").text(folder)
+    rolled = lines.select("node", (2 * F.col("seq")).alias("at"), "line").unionByName(marks)
+    _write_nodes(rolled, "at", folder)
     return folder
 
 
-def _place(df: DataFrame):
-    """Place among the lines of a node, for the comparison with SQL."""
-    return (F.row_number().over(Window.partitionBy("node").orderBy(*arrival(df))) - 1).cast("long")
-
-
-@bound("src1_read_node_output", f"{_ROLLED} SELECT node, place, line FROM arrived")
+@bound("src1_read_node_output", f"{_ROLLED} SELECT node, seq, line FROM arrived")
 def src1_read_node_output(spark, sf_dir):
-    """Three files per node, split over tasks."""
-    lines = read_node_output(spark, _rolled_lines(spark, sf_dir))
-    return lines.select("node", _place(lines).alias("place"), "line")
+    """Several files per node, split over tasks."""
+    return _arrived(read_node_output(spark, _rolled_lines(spark, sf_dir)))
 
 
 def _rolled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Whole files, so that ``seq`` does not depend on splits, and where each failed node failed."""
-    lines = read_node_output(spark, _rolled_lines(spark, sf_dir), whole_files=True)
+    """The lines in order of arrival and where each failed node failed."""
+    lines = _arrived(read_node_output(spark, _rolled_lines(spark, sf_dir)))
     failed = lines.filter(F.col("line") == FAILED).groupBy("node")
-    return lines, failed.agg(F.min(F.struct(*arrival(lines))).alias("failed_from"))
-
-
-def _numbered(parts: DataFrame) -> DataFrame:
-    """Files by their place in the node."""
-    place = F.dense_rank().over(Window.partitionBy("node").orderBy("file_time", "file")) - 1
-    return parts.withColumn("file", place.cast("long")).drop("file_time", "split")
+    return lines, failed.agg(F.min("seq").alias("failed_from"))
 
 
 @bound(
     "prj2_split_rolled_files",
-    f"""{_ROLLED} SELECT a.node, a.file, a.seq, a.line, {_IS_MEASURE} AND NOT after AS measure FROM arrived a""",
+    f"""{_ROLLED} SELECT a.node, a.seq, a.line, {_IS_MEASURE} AND NOT after AS measure FROM arrived a""",
 )
 def prj2_split_rolled_files(spark, sf_dir):
     lines, failures = _rolled(spark, sf_dir)
     measures, rejects = split_rejects(lines, failures)
-    known = lines.join(measures.select("node", "file", "seq"), ["node", "file", "seq"], "left_semi")
-    both = known.withColumn("measure", F.lit(True)).unionByName(rejects.withColumn("measure", F.lit(False)))
-    return _numbered(both).select("node", "file", "seq", "line", "measure")
+    known = lines.join(measures.select("node", "seq"), ["node", "seq"], "left_semi")
+    return known.withColumn("measure", F.lit(True)).unionByName(rejects.withColumn("measure", F.lit(False)))
 
 
 @bound(
     "agg2_error_text_rolled_files",
-    f"""{_ROLLED} SELECT a.node, a.file, a.seq // 256 AS part, string_agg(a.line, '' ORDER BY a.seq) AS error_text,
+    f"""{_ROLLED} SELECT a.node, a.seq // 256 AS part, string_agg(a.line, '' ORDER BY a.seq) AS error_text,
       count(*) AS lines
     FROM arrived a WHERE node IN ('node-1', 'node-3') AND (after OR NOT {_IS_MEASURE}) GROUP BY ALL""",
 )
 def agg2_error_text_rolled_files(spark, sf_dir):
     lines, failures = _rolled(spark, sf_dir)
     _, rejects = split_rejects(lines, failures)
-    return _numbered(node_error_text(rejects, failures.select("node", F.lit(1).alias("exit_status"))))
+    return node_error_text(rejects, failures.select("node", F.lit(1).alias("exit_status")))
 
 
 @bound(
     "agg3_series_rolled_files",
-    f"""{_ROLLED} SELECT a.node, a.file, a.seq // 512 AS part,
+    f"""{_ROLLED} SELECT a.node, a.seq // 512 AS part,
       string_agg(trim(split_part(a.line, ',', 2)) || ':' ||
         CASE WHEN contains(a.line, '[INSERT]') THEN trim(split_part(a.line, ',', 4), ' ' || chr(9)) ELSE '0' END, ' ' ORDER BY a.seq) AS points
     FROM arrived a WHERE NOT after AND {_IS_MEASURE} GROUP BY ALL""",
@@ -148,7 +153,7 @@ def agg2_error_text_rolled_files(spark, sf_dir):
 def agg3_series_rolled_files(spark, sf_dir):
     lines, failures = _rolled(spark, sf_dir)
     measures, _ = split_rejects(lines, failures)
-    return _numbered(_shown_series(node_series(measures, "ops", points_per_part=512)))
+    return _shown_series(node_series(measures, "ops", points_per_part=512))
 
 
 @bound(
@@ -157,7 +162,8 @@ def agg3_series_rolled_files(spark, sf_dir):
     SELECT node, row_number() OVER (PARTITION BY node ORDER BY seq) - 1 AS seq, line FROM node_lines""",
 )
 def src1_read_whole_node_files(spark, sf_dir):
-    return read_node_output(spark, _written_lines(spark, sf_dir), whole_files=True).select("node", "seq", "line")
+    """Files of bounded size, each read as one row."""
+    return _arrived(read_node_output(spark, _written_lines(spark, sf_dir), whole_files=True))
 
 
 @bound(

@@ -116,6 +116,27 @@ def test_digests_of_files(spark, tmp_path):
     ]
 
 
+def test_digests_of_large_files_and_folders(spark, tmp_path):
+    """More than Spark can hold in a row, block by block; folders below are listed by tasks."""
+    large = tmp_path / "deep" / "er" / "large.bin"
+    large.parent.mkdir(parents=True)
+    with open(large, "wb") as file:
+        file.write(b"start")
+        file.truncate((1 << 31) + 5)
+    want, zeros = hashlib.md5(b"start"), bytes(1 << 20)
+    for _ in range(2048):
+        want.update(zeros)
+    (tmp_path / "deep" / "_hidden").write_bytes(b"x")
+    (tmp_path / "top.txt").write_bytes(b"top")
+    rows = file_digests(spark, str(tmp_path)).collect()
+    assert [(r.folder, r.name, r.length) for r in rows] == [("er", "large.bin", (1 << 31) + 5), (tmp_path.name, "top.txt", 3)]
+    assert rows[0].digest == want.hexdigest().lstrip("0")
+    small = file_digests(spark, f"file://{tmp_path}/top.*", block_bytes=2).collect()
+    assert [(r.name, r.digest) for r in small] == [("top.txt", hashlib.md5(b"top").hexdigest().lstrip("0"))]
+    assert file_digests(spark, f"{tmp_path}/*/large.bin").collect() == []  # a star stays within its part
+    assert [r.name for r in file_digests(spark, f"{tmp_path}/deep/er/large.bin", 1 << 22).select("name").collect()] == ["large.bin"]
+
+
 def test_measure_message(spark):
     lines = spark.createDataFrame([("n", 0, "[INSERT], 1500, 2.5, 7")], "node string, seq long, line string")
     text = messages(parse_measures(lines), "measure").first().value
