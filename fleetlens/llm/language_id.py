@@ -198,7 +198,8 @@ def _round(stored: DataFrame, languages: list[str], centroids: np.ndarray, idf:
 def _sample(labelled: DataFrame, most: int) -> DataFrame:
     """At most ``most`` rows, evenly from the languages, the first of each by hash of the row."""
     # a language's rows are thinned by their hash before any are ordered, so none of them is one task's
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    # stored first, so that its size is known and texts are not shuffled where it is small
+    sizes = cut(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "language-sizes")
     languages = max(1, sizes.count())
     share = F.lit(most / languages) / F.col("rows")
     order = F.xxhash64(F.lit(13), "doc_id", F.xxhash64("text"))
