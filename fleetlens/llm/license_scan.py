@@ -1,10 +1,11 @@
 """Licence notices found by a positional index of their rare words.
 
-The words of the templates are weighed by how rare they are in the corpus. Of every template the rarest half
-is indexed with its positions. A document's indexed words look up their postings; postings that agree on where
-the template would begin are intersected; and where enough agree, the template's key phrase must stand there
-word for word. Everything is a Column expression or a join; no step of a document leaves its row before its
-few hits are exploded.
+Texts are cut into words once; of each document the template words with their positions are stored. The words of the
+templates are weighed by how rare they are in the corpus. Of every template the rarest half is indexed with its
+positions. A document's indexed words look up their postings; postings that agree on where the template would begin are
+intersected; and where enough agree, the template's key phrase must stand there word for word, which is looked up, word
+by word and place by place, among the stored positions. A place that is not verified counts nothing. Everything is a
+Column expression or a join on (row, place), so no row grows with what is found in it.
 
 Defined results: a null or empty text has no words, no places, empty labels and score 0; repeated rows are
 separate documents and each gets its row; an empty table gives no rows; other columns are not read.
@@ -65,16 +66,25 @@ def _spans(template: Template) -> tuple[list[str], list[str], int]:
     return words, key, at
 
 
-def word_rarity(words: DataFrame, templates: Sequence[Template]) -> dict[str, float]:
-    """Inverse document frequency of each template word over all documents (array column ``words``).
-
-    One row per template word reaches the driver.
-    """
+def template_words(docs: DataFrame, templates: Sequence[Template], id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, n_words, hits): of every document, the words of templates (``at``, ``word``), stored."""
     wanted = sorted({w for t in templates for w in t.words.split()})
-    found = words.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, wanted)))).alias("word"))
+    words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+    texts = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    hits = F.filter(
+        F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(wanted))
+    found = texts.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    return cut(found, "license-words")
+
+
+def word_rarity(documents: DataFrame, templates: Sequence[Template]) -> dict[str, float]:
+    """Inverse document frequency of each template word over all documents. One row per template word reaches the
+    driver."""
+    found = documents.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word"))
     counted = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
     most = max(counted.values(), default=0) + 1
-    return {w: float(most) / (counted.get(w, 0) + 1) for w in wanted}
+    return {w: float(most) / (counted.get(w, 0) + 1) for t in templates for w in t.words.split()}
 
 
 def license_hits(
@@ -84,12 +94,8 @@ def license_hits(
     """(documents, places): one row per document with its number of words, and one row per place at which at least
     ``agree`` of a template's indexed words stand as they do in it, with ``verified`` if its key phrase is there.
     """
-    texts = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"),
-    )
-    rarity = word_rarity(texts, templates)
-    longest = max(len(t.words.split()) for t in templates)
+    documents = template_words(docs, templates, id_col, text_col)
+    rarity = word_rarity(documents, templates)
     postings = []
     for number, template in enumerate(templates):
         words, key, at = _spans(template)
@@ -104,49 +110,35 @@ def license_hits(
             postings.append((words[i], number, i, need, len(indexed)))
     spark = docs.sparkSession
     index_words = sorted({p[0] for p in postings})
-    hits = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))),
-        lambda x: x["word"].isin(index_words),
-    )
-    # only documents with an indexed word pay for the positions
-    marked = texts.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.when(F.arrays_overlap("words", F.array(*map(F.lit, index_words))), hits).alias("hits"), "words",
-    )
-    found = marked.select(
-        "doc_id", "n_words",
-        F.transform("hits", lambda h: F.struct(
-            h["at"].alias("at"), h["word"].alias("word"),
-            F.slice("words", F.greatest(F.lit(1), h["at"] - longest + 2), 2 * longest - 1).alias("near"),
-            F.least(h["at"], F.lit(longest - 1)).alias("near_at"))).alias("hits"),
-    )
-    documents = cut(found.withColumn("row", F.monotonically_increasing_id()), "license-hits")
     index = spark.createDataFrame(postings, "word string, template int, place int, need int, indexed int")
     keys = spark.createDataFrame(
         [(n, t.label, t.base, key, at, [rarity[w] for w in words])
          for n, t in enumerate(templates) for words, key, at in [_spans(t)]],
         "template int, label string, base boolean, key array<string>, key_at int, weights array<double>",
     )
+    rare = documents.select("row", F.explode(F.filter("hits", lambda h: h["word"].isin(index_words))).alias("hit"))
     aligned = (
-        documents.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(index, "word")
+        rare.select("row", "hit.*").join(index, "word")
         .groupBy("row", "template", (F.col("at") - F.col("place")).alias("begin"))
         .agg(
             F.count("*").alias("agreeing"), F.first("need").alias("need"), F.first("indexed").alias("indexed"),
             F.collect_set("place").alias("places"),
-            # any hit's surroundings hold the whole template
-            F.min(F.struct("at", "near", "near_at")).alias("seen"),
         )
         .where("agreeing >= need")
-        .join(keys, "template")
     )
-    # where the key phrase would begin within the surroundings, from 0
-    key_begin = F.col("seen.near_at") + F.col("begin") + F.col("key_at") - F.col("seen.at")
+    aligned = cut(aligned, "license-places").join(keys, "template")
+    # the words that the key phrase asks for, and those that stand there
+    asked = aligned.select("row", "template", "begin", "key_at", F.posexplode("key").alias("n", "word")).select(
+        "row", "template", "begin", (F.col("begin") + F.col("key_at") + F.col("n")).alias("at"), "word")
+    key_words = sorted({w for t in templates for w in t.key.split()})
+    standing = documents.join(aligned.select("row").distinct(), "row", "left_semi").select(
+        "row", F.explode(F.filter("hits", lambda h: h["word"].isin(key_words))).alias("hit")).select("row", "hit.*")
+    spelled = asked.join(standing, ["row", "at", "word"]).groupBy("row", "template", "begin").agg(F.count("*").alias("spelled"))
     mass = F.aggregate("places", F.lit(0.0), lambda a, i: a + F.get("weights", i))
     possible = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
-    places = aligned.select(
+    places = aligned.join(spelled, ["row", "template", "begin"], "left").select(
         "row", "label", "base", (F.col("begin") + F.col("key_at")).cast("long").alias("start"),
-        (F.when(key_begin >= 0, F.slice("seen.near", F.greatest(key_begin, F.lit(0)) + 1, F.size("key")) == F.col("key"))
-         .otherwise(False)).alias("verified"),
+        F.coalesce(F.col("spelled") == F.size("key"), F.lit(False)).alias("verified"),
         F.when(F.col("agreeing") == F.col("indexed"), 1.0).otherwise(mass / possible).alias("share"),
     )
     return documents.select("row", "doc_id", "n_words"), places
@@ -154,7 +146,7 @@ def license_hits(
 
 def license_scan(docs: DataFrame, **options) -> DataFrame:
     """One row per document: its words, the places of base phrases, the labels, and the best share of a template's
-    rarity that stands in place (0 where none does). Arguments as for ``license_hits``."""
+    rarity that stands in a verified place (0 where there is none). Arguments as for ``license_hits``."""
     documents, places = license_hits(docs, **options)
     base = F.col("verified") & F.col("base")
     labels = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
@@ -163,7 +155,7 @@ def license_scan(docs: DataFrame, **options) -> DataFrame:
         F.min(F.when(base, F.col("start"))).alias("first_word"),
         F.max(F.when(base, F.col("start"))).alias("last_word"),
         labels(base).alias("base_labels"), labels(F.col("verified")).alias("labels"),
-        F.max("share").alias("score"),
+        F.max(F.when(F.col("verified"), F.col("share"))).alias("score"),
     )
     return documents.join(summed, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",

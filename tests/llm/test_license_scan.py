@@ -1,3 +1,4 @@
+import random
 import re
 
 from fleetlens.llm import license_scan
@@ -39,6 +40,49 @@ def test_phrases_at_the_ends_and_overlapping(spark):
     assert rows[8]["score"] == 1 and rows[12]["score"] == 0
 
 
+def by_rule(texts, templates=license_scan.TEMPLATES, agree=0.5):
+    """Labels and score of each text, place by place: rare words that agree, then the key phrase word for word."""
+    cut = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    known = {w for t in templates for w in t.words.split()}
+    often = {w: sum(w in set(words) for words in cut) for w in known}
+    rarity = {w: (max(often.values()) + 1) / (often[w] + 1) for w in known}
+    out = []
+    for words in cut:
+        labels, score = set(), 0.0
+        for t in templates:
+            all_, key = t.words.split(), t.key.split()
+            at = next(i for i in range(len(all_)) if all_[i : i + len(key)] == key)
+            rarest = lambda places: sorted(places, key=lambda i: (-rarity[all_[i]], i))[: -(-len(places) // 2)]
+            indexed = set(rarest(range(at, at + len(key)))) | (set() if t.base else set(rarest(range(len(all_)))))
+            need = max(1, min(sum(at <= i < at + len(key) for i in indexed), -(-int(agree * len(indexed) * 100) // 100)))
+            for begin in range(-len(all_), len(words) + 1):
+                there = [i for i in indexed if 0 <= begin + i < len(words) and words[begin + i] == all_[i]]
+                if len(there) < need or begin + at < 0 or words[begin + at : begin + at + len(key)] != key:
+                    continue
+                labels.add(t.label)
+                share = sum(rarity[all_[i]] for i in there) / sum(rarity[w] for w in all_)
+                score = max(score, 1.0 if len(there) == len(indexed) else share)
+        out.append((",".join(sorted(labels)), round(score, 9)))
+    return out
+
+
+def test_labels_and_scores_against_the_rule(spark, tricky):
+    """Whole notices, cut and mixed ones, and texts of template words in any order."""
+    draw = random.Random(4)
+    known = sorted({w for t in license_scan.TEMPLATES for w in t.words.split()})
+    texts = [t for _, t, _ in tricky] + ["all rights waived", "rights reserved", "permission is hereby granted free of"]
+    for t in license_scan.TEMPLATES:
+        words = t.words.split()
+        texts += [t.words, f"{t.key} by x", " ".join(words[1:]), " ".join(words[:-1]), " ".join(["y", *words, *words])]
+    texts += [" ".join(draw.choice(known) for _ in range(60)) for _ in range(60)]
+    texts.append(" ".join(["gnu general public license version"] * 400))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.license_scan(docs).collect()}
+    want = by_rule(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert got[len(tricky)] == ("", 0.0) and got[len(tricky) + 1] == ("", 0.0)
+
+
 def test_no_documents(no_docs):
     assert license_scan.license_scan(no_docs).collect() == []
 
