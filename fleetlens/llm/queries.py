@@ -79,14 +79,14 @@ def toxicity_scores(spark, sf_dir):
 def warc_round_trip(spark, sf_dir):
     folder = scratch_folder(spark, "warc")
     warc.write_warc(warc.captures(table(spark, sf_dir, "pages")), folder)
-    read = warc.assemble(spark, folder)
-    whole = F.col("response.warc_type") == "response"
+    read = warc.with_originals(warc.assemble(spark, folder))
+    # bytes and digest are those of the payload that was read: a revisit's is its original's
     return read.select(
         warc.field("page-id").cast("long").alias("page_id"),
-        F.when(whole, F.col("block_bytes")).otherwise(F.col("response.http_length")).alias("payload_bytes"),
-        F.when(whole, F.col("block_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.coalesce("block_bytes", "original.block_bytes").alias("payload_bytes"),
+        F.coalesce("block_digest", "original.block_digest").alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),
-        warc.field("refers-to-page-id").cast("long").alias("refers_to"),
+        warc.field("page-id", "original.metadata").cast("long").alias("refers_to"),
     )
 
 

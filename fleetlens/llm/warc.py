@@ -1,7 +1,8 @@
 """WARC archives: captures written as records of a transaction, read back and assembled by their identifiers.
 
 A capture is three records: request, response (or revisit) and metadata. Request and metadata name the response
-they belong to in ``WARC-Concurrent-To``; reading joins the three through it and gives one nested row per capture.
+they belong to in ``WARC-Concurrent-To``; reading joins the three through it and gives one nested row per capture. A
+revisit names the response that it repeats in ``WARC-Refers-To``; ``with_originals`` joins the two by record identifiers.
 Records are plain Column expressions and Spark's own writer puts them into gzipped files; a reader walks through
 each file by the records' ``Content-Length``, decompressing as it goes.
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.llm.common import cut
 from fleetlens.session import ship_package
 
 CRLF = "\r\n"
@@ -118,12 +120,7 @@ def write_warc(captured: DataFrame, path: str, *, records_per_file: int = 30_000
     metadata = _record(
         F.lit("metadata"), _record_id("metadata"), F.concat(uri, line("WARC-Concurrent-To", response_id)),
         "application/warc-fields",
-        F.encode(F.concat(
-            F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)),
-            F.when(revisit, F.concat(
-                F.lit("refers-to-page-id: "), F.coalesce(F.col("original").cast("string"), F.lit("")), F.lit(CRLF)))
-            .otherwise(F.lit("")),
-        ), "UTF-8"),
+        F.encode(F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)), "UTF-8"),
     )
     records = captured.select(F.explode(F.array(request, response, metadata)).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").option(
@@ -235,7 +232,19 @@ def assemble(spark: SparkSession, path: str) -> DataFrame:
     return transactions(read_records(spark, path).withColumn("digest", F.sha1("block")))
 
 
-def field(name: str):
+def with_originals(assembled: DataFrame) -> DataFrame:
+    """Adds ``original``: the capture whose response a revisit refers to; null for others and where it is missing.
+
+    The captures are stored first; a response that a third of all captures refer to is then split where they join.
+    """
+    stored = cut(assembled, "warc-captures")
+    responses = stored.where(F.col("response.warc_type") == "response").select(
+        F.col("response.record_id").alias("_refers_to"), F.struct(*stored.columns).alias("original"))
+    refers_to = F.when(F.col("response.warc_type") == "revisit", F.col("response.refers_to"))
+    return stored.withColumn("_refers_to", refers_to).join(responses, "_refers_to", "left").drop("_refers_to")
+
+
+def field(name: str, of: str = "metadata"):
     """The value of a line of the metadata record; null if it has none."""
-    value = F.regexp_extract("metadata.fields", f"(?m)^{name}: ([^\\r\\n]*)", 1)
+    value = F.regexp_extract(f"{of}.fields", f"(?m)^{name}: ([^\\r\\n]*)", 1)
     return F.when(value != "", value)

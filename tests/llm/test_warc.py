@@ -12,7 +12,7 @@ from fleetlens.llm.queries import QUERIES
 def captures_of(spark, rows, tmp_path, **options):
     pages = with_clashes(spark.createDataFrame(rows, "page_id long, url string, html string"))
     warc.write_warc(warc.captures(pages), f"{tmp_path}/w", **options)
-    return warc.assemble(spark, f"{tmp_path}/w")
+    return warc.with_originals(warc.assemble(spark, f"{tmp_path}/w"))
 
 
 PAGES = [
@@ -26,8 +26,9 @@ def test_round_trip(spark, tmp_path):
     rows = captures_of(spark, PAGES, tmp_path, records_per_file=4).select(
         warc.field("page-id").cast("long").alias("page_id"), "request.target_uri", "response.warc_type",
         "block_bytes", "block_digest", "response.http_length", "response.payload_digest",
-        warc.field("refers-to-page-id").cast("long").alias("refers_to"), "response.record_id", "response.refers_to",
-    ).toDF("page_id", "uri", "kind", "bytes", "digest", "http", "payload", "refers_to", "record", "refers_record").collect()
+        warc.field("page-id", "original.metadata").cast("long").alias("refers_to"), "response.record_id", "response.refers_to",
+        "original.block_digest",
+    ).toDF("page_id", "uri", "kind", "bytes", "digest", "http", "payload", "refers_to", "record", "refers_record", "of_original").collect()
     assert len(rows) == len(PAGES)
     got = {r["page_id"]: r for r in rows}
     for page_id, _, html in PAGES:
@@ -36,12 +37,23 @@ def test_round_trip(spark, tmp_path):
         assert (r["http"], r["payload"]) == (len(body), hashlib.sha1(body).hexdigest())
         if page_id in (1, 2, 8):
             assert (r["kind"], r["refers_to"]) == ("revisit", 10 if page_id == 8 else 9)
-            assert r["refers_record"] == got[r["refers_to"]]["record"]
+            assert r["refers_record"] == got[r["refers_to"]]["record"] and r["of_original"] == r["payload"]
         else:
             assert (r["kind"], r["refers_to"], r["bytes"], r["digest"]) == (
                 "response", None, len(body), hashlib.sha1(body).hexdigest())
 
 
+def test_the_original_is_found_by_its_record_alone(spark, tmp_path):
+    """What a revisit refers to is read from the archive; without the response there is no original."""
+    read = captures_of(spark, PAGES, tmp_path)
+    gone = warc.assemble(spark, f"{tmp_path}/w").where(warc.field("page-id") != "9")
+    rows = warc.with_originals(gone).where(F.col("response.warc_type") == "revisit").select(
+        warc.field("page-id"), warc.field("page-id", "original.metadata")).collect()
+    assert sorted(map(tuple, rows), key=str) == [("1", None), ("2", None), ("8", "10")]
+    text = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/w/*.gz"))
+    assert b"refers-to-page" not in text and read.where("original is not null").count() == 3
+
+
 def test_records_are_warc(spark, tmp_path):
     captures_of(spark, PAGES[:4], tmp_path)
     text = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/w/*.gz"))
