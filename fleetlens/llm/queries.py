@@ -24,7 +24,34 @@ def pack_documents(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-@bound("op2_near_documents")
+@bound(
+    "op2_near_documents",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+      FROM documents),
+    sets AS MATERIALIZED (
+      SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s
+      FROM w),
+    copies AS MATERIALIZED (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+    shingles AS MATERIALIZED (SELECT rep, len(s) AS n, unnest(s) AS shingle FROM copies),
+    common AS (
+      SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS n
+      FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rep < b.rep
+        AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.rep, b.rep),
+    links AS MATERIALIZED (
+      SELECT a, b FROM common WHERE 100 * n >= 85 * (n_a + n_b - n)
+      UNION ALL SELECT b, a FROM common WHERE 100 * n >= 85 * (n_a + n_b - n)),
+    reach(rep, id) AS (SELECT rep, rep FROM copies UNION SELECT reach.rep, links.b FROM reach JOIN links ON reach.id = links.a),
+    low AS (SELECT rep, min(id) AS component FROM reach GROUP BY rep)
+    SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id,
+      d.doc_id = coalesce(l.component, d.doc_id) AS kept
+    FROM sets d LEFT JOIN copies c ON len(d.s) > 0 AND c.s = list_sort(d.s) LEFT JOIN low l ON l.rep = c.rep
+    """,
+)
 def near_documents(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -121,9 +148,55 @@ def source_mix(spark, sf_dir):
     return mixing.taken(mixed).drop("source")
 
 
-@bound("op10_license_scan")
+def _license_sql() -> str:
+    """Words, base places, and the rule of labels: rare words that agree on a beginning, then the key phrase."""
+    spans = [(n, t, *licenses._spans(t)) for n, t in enumerate(licenses.TEMPLATES)]
+    templates = ", ".join(f"({n}, '{t.label}', {t.base}, {words}, {key}, {at})" for n, t, words, key, at in spans)
+    return rf"""
+    WITH t(template, label, base, words, key, key_at) AS (VALUES {templates}),
+    d AS MATERIALIZED (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM documents),
+    slots AS (SELECT template, base, len(words) AS n, len(key) AS n_key, key_at, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM t),
+    hits AS MATERIALIZED (
+      SELECT doc_id, word, i AS at FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d)
+      WHERE word IN (SELECT word FROM slots)),
+    often AS (SELECT word, count(DISTINCT doc_id) AS n FROM hits GROUP BY word),
+    rarity AS (
+      SELECT w.word, ((SELECT coalesce(max(n), 0) FROM often) + 1)::DOUBLE / (coalesce(o.n, 0) + 1) AS r
+      FROM (SELECT DISTINCT word FROM slots) w LEFT JOIN often o ON o.word = w.word),
+    ranked AS (
+      SELECT s.*, r.r, i >= key_at AND i < key_at + n_key AS in_key,
+        row_number() OVER (PARTITION BY template ORDER BY r.r DESC, i) AS any_rank,
+        row_number() OVER (PARTITION BY template, i >= key_at AND i < key_at + n_key ORDER BY r.r DESC, i) AS own_rank
+      FROM slots s JOIN rarity r ON r.word = s.word),
+    indexed AS (
+      SELECT *, count(*) OVER (PARTITION BY template) AS n_indexed, count(*) FILTER (in_key) OVER (PARTITION BY template) AS n_in_key
+      FROM ranked WHERE (in_key AND own_rank <= (n_key + 1) // 2) OR (NOT base AND any_rank <= (n + 1) // 2)),
+    aligned AS (
+      SELECT h.doc_id, x.template, h.at - x.i AS b, count(*) AS agreeing, any_value(n_indexed) AS n_indexed, sum(x.r) AS mass
+      FROM hits h JOIN indexed x ON x.word = h.word GROUP BY ALL
+      HAVING count(*) >= any_value(greatest(1, least(n_in_key, (50 * n_indexed + 99) // 100)))),
+    whole AS (SELECT template, sum(r) AS r FROM ranked GROUP BY template),
+    places AS (
+      SELECT a.doc_id, t.label, t.base, a.b + t.key_at AS start,
+        CASE WHEN agreeing = n_indexed THEN 1.0 ELSE mass / whole.r END AS share
+      FROM aligned a JOIN t ON t.template = a.template JOIN whole ON whole.template = a.template JOIN d ON d.doc_id = a.doc_id
+      WHERE a.b + t.key_at >= 0 AND d.words[a.b + t.key_at + 1:a.b + t.key_at + len(t.key)] = t.key)
+    SELECT d.doc_id, len(any_value(d.words)) AS n_words, count(*) FILTER (p.base) AS n_base,
+      min(p.start) FILTER (p.base) AS first_word, max(p.start) FILTER (p.base) AS last_word,
+      coalesce(string_agg(DISTINCT p.label, ',' ORDER BY p.label) FILTER (p.base), '') AS base_labels,
+      coalesce(string_agg(DISTINCT p.label, ',' ORDER BY p.label), '') AS labels, coalesce(round(max(p.share)::DOUBLE, 9), 0) AS score
+    FROM d LEFT JOIN places p ON p.doc_id = d.doc_id GROUP BY d.doc_id
+    """
+
+
+@bound("op10_license_scan", _license_sql())
 def license_scan(spark, sf_dir):
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("score", F.round("score", 9))
 
 
 def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:

@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from conftest import with_clashes
-from fleetlens.llm.queries import ORACLES, QUERIES
 from fleetlens.llm.sharded_lloyd import lloyd
 
 DIMS = 6
@@ -81,16 +80,3 @@ def test_blocks_are_not_shuffled_in_a_round(spark, vectors):
     own, assigned = plan[plan.index("SortMergeJoin"):].split("FlatMapGroupsInArrow")
     assert own.count("Exchange") == 1 and "Bucketed: true" in own  # that of the assignments, above their groups
     assert assigned.count("Exchange") == 1
-
-
-def test_query_agrees_with_sql(spark):
-    from oracle import compare, connect
-    import oracle
-
-    oracle.QUERIES["op11_centroid_clusters"] = QUERIES["op11_centroid_clusters"]
-    oracle.ORACLES["op11_centroid_clusters"] = ORACLES["op11_centroid_clusters"]
-    try:
-        sf = "/root/testdata/sf0.001"
-        assert compare(spark, connect(sf), "op11_centroid_clusters", sf) == []
-    finally:
-        del oracle.QUERIES["op11_centroid_clusters"], oracle.ORACLES["op11_centroid_clusters"]
