@@ -33,6 +33,7 @@ from fleetlens.operators.lookups import (
     resolve_links,
     resolve_links_array,
 )
+from fleetlens.operators.nested import find_values
 from fleetlens.operators.planning import cluster_plan
 from fleetlens.plans.registry import bound
 from fleetlens.plans.updates import last_updates
@@ -167,6 +168,43 @@ for _kind in _KINDS:
     _listing(_kind)
 
 
+@bound(
+    "find_values",
+    """
+    WITH RECURSIVE d AS (
+      SELECT c_custkey, json_object('id', c_custkey, 'owner', json_object('name', c_name, 'nation', json_object('name', c_nationkey)),
+        'disks', json_array(json_object('name', 'd0', 'size', 1),
+          json_object('source', json_array(json_object('name', json_object('name', c_name), 'x', NULL)), 'size', c_custkey % 3)),
+        'tags', json_array('name', c_mktsegment)) AS doc
+      FROM customer),
+    walk(c_custkey, path, key, v) AS (
+      SELECT c_custkey, '', NULL::VARCHAR, doc FROM d
+      UNION ALL
+      SELECT w.c_custkey, w.path || '/' || e.key, CASE WHEN json_type(w.v) = 'OBJECT' THEN e.key END, e.value
+      FROM walk w, json_each(w.v) e WHERE json_type(w.v) IN ('OBJECT', 'ARRAY') AND w.key IS DISTINCT FROM 'name')
+    SELECT c_custkey, substr(path, 2) AS path, v ->> '$' AS value FROM walk WHERE key = 'name'
+    """,
+)
+def find_values_of_listings(spark, sf_dir):
+    """All names in nested listings, one per customer."""
+    def named(*fields):
+        return F.struct(*(value.alias(name) for name, value in fields))
+
+    name, key = F.col("c_name"), F.col("c_custkey")
+    owner = named(("name", name), ("nation", named(("name", F.col("c_nationkey")))))
+    source = F.array(named(("name", named(("name", name))), ("x", F.lit(None).cast("int"))))
+    disks = F.array(
+        F.to_json(named(("name", F.lit("d0")), ("size", F.lit(1)))),
+        F.to_json(named(("source", source), ("size", key % 3)), {"ignoreNullFields": "false"}))
+    head = F.to_json(named(("id", key), ("owner", owner)))
+    tags = F.to_json(named(("tags", F.array(F.lit("name"), F.col("c_mktsegment")))))
+    rows = table(spark, sf_dir, "customer").select(
+        key, head.alias("_head"), disks.alias("_disks"), tags.alias("_tags")).withColumn(
+        "_head", F.expr("substring(_head, 1, length(_head) - 1)")).select("c_custkey", F.concat(
+            "_head", F.lit(',"disks":['), F.array_join("_disks", ","), F.lit("],"), F.substring("_tags", 2, 1 << 20)).alias("listing"))
+    return find_values(rows, "listing", "name")
+
+
 @bound(
     "prj7_endpoint_columns",
     f"""

@@ -25,7 +25,7 @@ from fleetlens.plans.registry import bound
 from fleetlens.plans.views import MEASURES, NODE_LINES, node_lines, table
 from fleetlens.session import scratch_folder
 from fleetlens.sources.messages import read_messages, write_messages
-from fleetlens.sources.node_output import read_node_output
+from fleetlens.sources.node_output import read_lines, read_node_output, start_lines
 from fleetlens.streaming.measures import measure_stream, read_throughput, start, start_throughput
 
 HOUR = 3_600_000
@@ -120,6 +120,21 @@ def _rolled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return lines, failed.agg(F.min("seq").alias("failed_from"))
 
 
+def _streamed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """As ``_rolled``, from files that arrive in several batches."""
+    folder, kept = _rolled_lines(spark, sf_dir), scratch_folder(spark, "lines")
+    stream = read_node_output(spark, folder, streaming=True, max_files_per_trigger=3)
+    start_lines(stream, kept, scratch_folder(spark, "lines-state")).awaitTermination()
+    lines = _arrived(read_lines(spark, kept, stream.schema))
+    failed = lines.filter(F.col("line") == FAILED).groupBy("node")
+    return lines, failed.agg(F.min("seq").alias("failed_from"))
+
+
+@bound("src1_lines_stream", f"{_ROLLED} SELECT node, seq, line FROM arrived")
+def src1_lines_stream(spark, sf_dir):
+    return _streamed(spark, sf_dir)[0]
+
+
 @bound(
     "prj2_split_rolled_files",
     f"""{_ROLLED} SELECT a.node, a.seq, a.line, {_IS_MEASURE} AND NOT after AS measure FROM arrived a""",
@@ -131,25 +146,38 @@ def prj2_split_rolled_files(spark, sf_dir):
     return known.withColumn("measure", F.lit(True)).unionByName(rejects.withColumn("measure", F.lit(False)))
 
 
-@bound(
-    "agg2_error_text_rolled_files",
-    f"""{_ROLLED} SELECT a.node, a.seq // 256 AS part, string_agg(a.line, '' ORDER BY a.seq) AS error_text,
+_ROLLED_ERRORS = f"""{_ROLLED} SELECT a.node, a.seq // 256 AS part, string_agg(a.line, '' ORDER BY a.seq) AS error_text,
       count(*) AS lines
-    FROM arrived a WHERE node IN ('node-1', 'node-3') AND (after OR NOT {_IS_MEASURE}) GROUP BY ALL""",
-)
+    FROM arrived a WHERE node IN ('node-1', 'node-3') AND (after OR NOT {_IS_MEASURE}) GROUP BY ALL"""
+
+
+@bound("agg2_error_text_stream", _ROLLED_ERRORS)
+def agg2_error_text_stream(spark, sf_dir):
+    lines, failures = _streamed(spark, sf_dir)
+    _, rejects = split_rejects(lines, failures)
+    return node_error_text(rejects, failures.select("node", F.lit(1).alias("exit_status")))
+
+
+@bound("agg2_error_text_rolled_files", _ROLLED_ERRORS)
 def agg2_error_text_rolled_files(spark, sf_dir):
     lines, failures = _rolled(spark, sf_dir)
     _, rejects = split_rejects(lines, failures)
     return node_error_text(rejects, failures.select("node", F.lit(1).alias("exit_status")))
 
 
-@bound(
-    "agg3_series_rolled_files",
-    f"""{_ROLLED} SELECT a.node, a.seq // 512 AS part,
+_ROLLED_SERIES = f"""{_ROLLED} SELECT a.node, a.seq // 512 AS part,
       string_agg(trim(split_part(a.line, ',', 2)) || ':' ||
         CASE WHEN contains(a.line, '[INSERT]') THEN trim(split_part(a.line, ',', 4), ' ' || chr(9)) ELSE '0' END, ' ' ORDER BY a.seq) AS points
-    FROM arrived a WHERE NOT after AND {_IS_MEASURE} GROUP BY ALL""",
-)
+    FROM arrived a WHERE NOT after AND {_IS_MEASURE} GROUP BY ALL"""
+
+
+@bound("agg3_series_stream", _ROLLED_SERIES)
+def agg3_series_stream(spark, sf_dir):
+    measures, _ = split_rejects(*_streamed(spark, sf_dir))
+    return _shown_series(node_series(measures, "ops", points_per_part=512))
+
+
+@bound("agg3_series_rolled_files", _ROLLED_SERIES)
 def agg3_series_rolled_files(spark, sf_dir):
     lines, failures = _rolled(spark, sf_dir)
     measures, _ = split_rejects(lines, failures)

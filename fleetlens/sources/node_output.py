@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from fleetlens.functions.text import after_last, line_array
 from fleetlens.operators.lines import split_lines
@@ -34,7 +36,8 @@ def read_node_output(
     what a row holds between CRs, and the pieces of a line over 1 MiB. LF and CR each end a line, so CR LF leaves an
     empty line in between. A file that ends with a CR alone has an empty last line here.
 
-    Spark numbers no rows of a stream, so ``seq`` is NULL there unless files are read whole.
+    Spark numbers no rows of a stream, so ``seq`` is NULL there unless files are read whole; ``start_lines`` numbers the
+    rows of each batch as it stores them.
 
     ``whole_files`` reads each file as one row and numbers its lines from 0 in ``seq``; for small files only.
     """
@@ -68,3 +71,24 @@ def read_node_output(
         "piece",
         "line",
     )
+
+
+def start_lines(lines: DataFrame, path: str, checkpoint: str, period: str | None = None) -> StreamingQuery:
+    """Stores a stream of ``read_node_output`` under ``path``, exactly once, with ``seq`` as in batch (``read_lines``).
+
+    A batch takes whole files and its rows pass no shuffle, so a row's place in its task rises along a split. A batch
+    that Spark repeats replaces its own files. Without ``period`` it takes what is there and ends.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK))
+        batch.withColumn("seq", F.coalesce("seq", place)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    trigger = {"processingTime": period} if period else {"availableNow": True}
+    writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
+
+
+def read_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The lines stored so far; ``schema`` is that of the stream."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)

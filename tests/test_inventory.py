@@ -32,6 +32,7 @@ from fleetlens.operators.lookups import (
 )
 from fleetlens.session import scratch_folder
 from fleetlens.sources.inventory import LISTING_OBJECTS, read_inventory
+from fleetlens.operators.nested import find_values
 from fleetlens.streaming.operations import role_counts_stream
 
 INSTANCES = {
@@ -228,3 +229,26 @@ def test_missing_and_existing_nodes(spark):
     table = existing.distinct().withColumn("zone", F.lit("z1"))
     got = sorted(map(tuple, lookup_or_null(planned, table, "instance").collect()))
     assert got == [("a", "z1"), ("b", None), ("c", None)]
+
+
+def test_values_of_a_field_at_any_depth(spark):
+    """A value that is found is not searched itself; texts that are no JSON, empty ones and nulls have none."""
+    rows = [
+        (1, '{"name": "a", "b": {"name": {"name": "inner"}, "c": [1, [{"name": null}, {"x": {"name": true}}]]}}', "k"),
+        (2, '[{"name": 1.50}, {"name": [1, 2]}, "name", []]', "k"), (3, "{broken", "k"), (4, None, "k"), (5, "{}", None),
+        (6, '"name"', "k"), (7, '{"Name": 1, "name ": 2, "": {"name": ""}}', "k"), (1, '{"name": "a"}', "again"),
+    ]
+    docs = spark.createDataFrame(rows, "id long, doc string, path string").withColumnRenamed("path", "tree")
+    found = find_values(docs, "doc", "name")
+    assert found.columns == ["id", "tree", "path", "value"]
+    assert sorted(map(tuple, found.drop("tree").collect()), key=repr) == sorted([
+        (1, "name", "a"), (1, "b/name", '{"name":"inner"}'), (1, "b/c/1/0/name", None), (1, "b/c/1/1/x/name", "true"),
+        (2, "0/name", "1.5"), (2, "1/name", "[1,2]"), (7, "/name", ""), (1, "name", "a"),
+    ], key=repr)
+    assert find_values(docs.limit(0), "doc", "name").collect() == []
+
+
+def test_deep_documents_are_taken_apart_level_by_level(spark):
+    deep = "".join('{"x":[' for _ in range(40)) + '{"name":7}' + "".join("]}" for _ in range(40))
+    docs = spark.createDataFrame([(1, deep)], "id long, doc string")
+    assert [(r.path.count("/"), r.value) for r in find_values(docs, "doc", "name").collect()] == [(80, "7")]

@@ -21,7 +21,7 @@ from fleetlens.operators.telemetry import (
 from fleetlens.session import scratch_folder
 from fleetlens.sources.files import file_digests
 from fleetlens.sources.messages import messages, read_messages, write_messages
-from fleetlens.sources.node_output import read_node_output
+from fleetlens.sources.node_output import read_lines, read_node_output, start_lines
 from fleetlens.streaming.measures import (
     MEASURE_PERIOD,
     OPERATION_PERIOD,
@@ -191,6 +191,23 @@ def test_stream_of_measures_equals_batch(spark, tmp_path):
         write_messages(measures, "measure", text_out)
 
 
+def test_lines_of_a_stream_are_numbered_as_in_batch(spark, tmp_path):
+    """Files in several batches and over a restart: the lines of every split in the order of its bytes."""
+    fill(tmp_path, files=3)
+    kept, state = scratch_folder(spark, "lines"), scratch_folder(spark, "state")
+    for late in (False, True):
+        if late:
+            write(tmp_path, "a", "late.log", "".join(f"late {n}\rhalf {n}\n" for n in range(500)))
+        stream = read_node_output(spark, str(tmp_path), streaming=True, max_files_per_trigger=2)
+        start_lines(stream, kept, state).awaitTermination()
+    got = read_lines(spark, kept, stream.schema)
+    batch = read_node_output(spark, str(tmp_path))
+    assert got.columns == batch.columns and got.filter("seq is null").isEmpty()
+    in_order = [tuple(r) for r in got.orderBy("node", *ARRIVAL).select("node", "file", "line").collect()]
+    assert in_order == [tuple(r) for r in batch.orderBy("node", *ARRIVAL).select("node", "file", "line").collect()]
+    assert len(in_order) > 1200
+
+
 def test_stream_delivers_once_over_restarts(spark, tmp_path):
     out, state = scratch_folder(spark, "out"), scratch_folder(spark, "state")
     write(tmp_path, "a", "1.log", "[READ], 1, 1, 1\n")
