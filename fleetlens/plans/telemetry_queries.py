@@ -222,6 +222,30 @@ def src2_split_and_cut_lines(spark, sf_dir):
     return split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", max_chars=80)
 
 
+@bound(
+    "src2_split_and_cut_bytes",
+    """
+    WITH pieces AS (
+      SELECT doc_id, l.n AS n, hex(encode(l.line)) AS line, l.n = len(lines) AS last
+      FROM (SELECT doc_id, regexp_split_to_array(text, '[\\r\\n]') AS lines FROM documents),
+        LATERAL (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS n) l),
+    cut AS (
+      SELECT doc_id, n, last, p.i AS i, substr(line, p.i * 50 + 1, 50) AS piece, p.i = len(line) // 50 AS last_piece
+      FROM pieces, LATERAL (SELECT unnest(generate_series(0, len(line) // 50)) AS i) p),
+    ends AS (
+      SELECT *, regexp_extract(piece, '^([89AB][0-9A-F])*') AS ended,
+        regexp_extract(piece, '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$') AS begun
+      FROM cut)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS INTEGER) AS line_no,
+      repeat(chr(65533), len(ended) // 2) || decode(unhex(substr(piece, len(ended) + 1, len(piece) - len(ended) - len(begun))))
+        || CASE WHEN begun <> '' THEN chr(65533) ELSE '' END AS line
+    FROM ends WHERE NOT (last AND last_piece AND piece = '')""",
+)
+def src2_split_and_cut_bytes(spark, sf_dir):
+    """Lines of 25 bytes: many cuts lie within a character."""
+    return split_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", max_chars=25, unit="bytes")
+
+
 @bound(
     "prj1_parse_measures",
     f"WITH {MEASURES} SELECT node, seq, time, op, ops, round(CAST(avg_latency AS DOUBLE), 4) AS avg_latency FROM measures",

@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.operators.lines import split_lines
 from fleetlens.operators.telemetry import (
     ARRIVAL,
     arrival,
@@ -106,6 +107,24 @@ def test_long_lines_come_in_pieces(spark, tmp_path):
     assert [(r.piece, r.n) for r in got] == [(0, cap), (1, cap), (2, 3), (0, 1)]
 
 
+def test_lines_are_cut_by_bytes_too(spark):
+    """As a reader that decodes piece by piece has it, for characters of one to four bytes."""
+    texts = ["aé€🙂" * 5, "🙂" * 9, "", "x" * 14, "é" * 7 + "\n" + "€" * 4 + "\r\n", "plain\nlines", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for cap in (2, 3, 5, 7):
+        want = []
+        for i, text in enumerate(texts):
+            lines = []
+            for line in (text or "").replace("\r", "\n").split("\n"):
+                raw = line.encode()
+                lines += [raw[k : k + cap].decode("utf-8", "replace") for k in range(0, len(raw) + 1, cap) if k == 0 or k <= len(raw)]
+            if lines and lines[-1] == "":
+                lines.pop()
+            want += [(i, n, line) for n, line in enumerate(lines)]
+        got = split_lines(df, "text", max_chars=cap, unit="bytes").orderBy("i", "line_no").collect()
+        assert [tuple(r) for r in got] == want
+
+
 def test_digests_of_files(spark, tmp_path):
     contents = {"b.pp": b"two", "a.pp": b"\n", "c.pp": bytes(range(256)), "empty one.pp": b""}
     for name, content in contents.items():
