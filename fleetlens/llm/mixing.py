@@ -125,7 +125,9 @@ def mix(
             # null sorts behind every source
             F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")).alias("k"),
             word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
+            # the same order in any engine
+            F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)), 1, 15), 16, 10)
+            .cast("long").alias("h"),
             *numbers,
         ),
         "mix-sizes",

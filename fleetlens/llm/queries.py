@@ -142,10 +142,35 @@ def near_vectors(spark, sf_dir):
     return found.withColumnRenamed("id", "vec_id")
 
 
-@bound("op9_source_mix")
+@bound(
+    "op9_source_mix",
+    r"""
+    WITH d AS (
+      SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS k,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        ('0x' || md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), text))[1:15])::BIGINT AS h
+      FROM documents),
+    s AS (
+      SELECT k, sum(size)::BIGINT AS n, [3, 1, 2][(row_number() OVER (ORDER BY k) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY k),
+    caps AS (
+      SELECT *, 2.0::DOUBLE * n AS cap, 1.5::DOUBLE * sum(n) OVER () AS total,
+        coalesce(sum(2.0::DOUBLE * n) OVER (ORDER BY 2.0::DOUBLE * n / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(w) OVER (ORDER BY 2.0::DOUBLE * n / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+      FROM s),
+    level AS (SELECT arg_min((total - before) / rest, (cap / w, k)) AS level FROM caps WHERE cap / w > (total - before) / rest),
+    targets AS (SELECT k, n, coalesce(least(cap, level * w), cap) AS target FROM caps, level),
+    placed AS (
+      SELECT d.doc_id, size, n, target, floor(target)::BIGINT AS goal, coalesce(sum(size) OVER (
+        PARTITION BY d.k ORDER BY h % 1024, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+      FROM d JOIN targets t ON t.k = d.k)
+    SELECT doc_id, size, n AS source_size, round(target, 6) AS target,
+      CASE WHEN n = 0 THEN 0 ELSE goal // n * size + greatest(0, least(size, goal % n - place)) END AS taken
+    FROM placed
+    """,
+)
 def source_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixing.taken(mixed).drop("source")
+    return mixing.taken(mixed).drop("source").withColumn("target", F.round("target", 6))
 
 
 def _license_sql() -> str:
