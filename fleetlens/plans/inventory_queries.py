@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ from fleetlens.plans.views import EXISTING, INSTANCES, NODE_LINES, PLAN, existin
 from fleetlens.session import scratch_folder
 from fleetlens.sources.files import file_digests
 from fleetlens.sources.inventory import read_inventory
+from fleetlens.sources.listing_blocks import read_large_inventory
 from fleetlens.streaming.operations import (
     liveness_table,
     node_liveness_stream,
@@ -168,6 +171,37 @@ for _kind in _KINDS:
     _listing(_kind)
 
 
+@bound(
+    "src3_large_listing",
+    """SELECT CAST(p_partkey AS VARCHAR) || chr(92) || '"{' AS id, p_name AS name, p_type AS description, CAST(p_size AS INTEGER) AS cpus,
+      CAST(p_partkey AS INTEGER) AS memory_mb FROM part""",
+)
+def src3_large_listing(spark, sf_dir):
+    """One listing a file, each read as blocks of 4 KiB."""
+    folder = scratch_folder(spark, "large-listing")
+    fields = F.struct(
+        F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_size").cast("int").alias("cpus"),
+        F.col("p_partkey").cast("int").alias("memoryMb"))
+    # the key holds what a reader may mistake for the structure
+    key = F.concat(F.lit('"'), text("p_partkey"), F.lit('\\\\\\"{": '))
+    entries = table(spark, sf_dir, "part").select(F.concat(key, F.to_json(fields)).alias("value"))
+
+    def listing(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(['{"machinetypes": {'])], names=["value"])
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines = pc.binary_join_element_wise(pa.scalar("" if first else ","), pc.fill_null(batch.column(0), ""), "")
+            rest = pc.binary_join_element_wise(pa.scalar(","), batch.column(0), "")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([lines.slice(0, 1), rest.slice(1)])], names=["value"])
+            first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["}}"])], names=["value"])
+
+    entries.repartition(4, "value").mapInArrow(listing, "value string").write.text(folder)
+    return inventory_view(read_large_inventory(spark, folder, "machinetypes", 4096), "machinetypes")
+
+
 @bound(
     "find_values",
     """

@@ -21,7 +21,7 @@ BLOCK_BYTES = 1 << 20
 _LISTED = "path string, is_file boolean, length bigint, modified timestamp"
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, which may have a scheme, and the path in it."""
     path = re.sub("^file:/+", "/", path)
     return fs.FileSystem.from_uri(path)
@@ -43,7 +43,7 @@ def _lister(recursive: bool):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                system, inner = _opened(path)
+                system, inner = opened(path)
                 # what was cut off of the path when it was opened, such as a scheme
                 prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
                 if system.get_file_info(inner).is_file:
@@ -66,7 +66,7 @@ def _digests(block_bytes: int):
         for batch in batches:
             found = []
             for path in batch.column("path").to_pylist():
-                system, inner = _opened(path)
+                system, inner = opened(path)
                 running = hashlib.md5()
                 with system.open_input_stream(inner, buffer_size=0, compression=None) as stream:
                     while block := stream.read(block_bytes):
@@ -84,13 +84,10 @@ def _matching(base: str, pattern: str) -> str:
     return rf"^.*{re.escape(base.rstrip('/').rsplit('/', 1)[-1])}/{'/'.join(parts)}$"
 
 
-def file_digests(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``folder``, ``name``, ``length``, ``modified``, ``digest`` of the files under ``path``, in natural order of name.
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``length``, ``modified`` of a file, of all files below a folder, or of those that match a pattern.
 
-    ``path`` is a file, a folder with all below it, or a pattern. Folders are listed by tasks, files of any size are
-    digested by the task that reads them, a block at a time, and only the digests are sorted; no path passes through the
-    driver. Names that begin with ``_`` or ``.`` are left out. Files are opened with Arrow, which knows local paths,
-    HDFS and the large object stores.
+    Folders are listed by tasks; no path passes through the driver. Names that begin with ``_`` or ``.`` are left out.
     """
     ship_package(spark)
     special = re.search(r"[*?\[]", path)
@@ -101,7 +98,18 @@ def file_digests(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
     files = top.where("is_file").unionByName(below)
     if special is not None:
         files = files.where(F.col("path").rlike(_matching(base, path[len(base) + 1 :])))
-    dealt = files.select("path", "length", "modified").repartition(n, "path")
+    return files.select("path", "length", "modified")
+
+
+def file_digests(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``folder``, ``name``, ``length``, ``modified``, ``digest`` of the files under ``path``, in natural order of name.
+
+    ``path`` is as for ``listed_files``. Files of any size are digested by the task that reads them, a block at a time,
+    and only the digests are sorted. Files are opened with Arrow, which knows local paths, HDFS and the large object
+    stores.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed_files(spark, path).repartition(n, "path")
     found = dealt.mapInArrow(_digests(block_bytes), "path string, length bigint, modified timestamp, md5 string")
     return found.select(
         after_last(F.regexp_extract("path", "^(.*)/[^/]*$", 1), "/").alias("folder"),
