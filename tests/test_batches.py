@@ -30,6 +30,7 @@ def many_files(spark, tmp_path, monkeypatch):
     "name, batch_name, state",
     [
         ("ran1_throughput_stream", "ran1_throughput", "throughput-state"),
+        ("str1_measure_stream", "prj1_parse_measures", "measures-state"),
     ],
 )
 def test_many_files_arrive_in_few_batches(spark, many_files, monkeypatch, name, batch_name, state):
