@@ -139,6 +139,34 @@ def _composed_groups(groups: DataFrame) -> DataFrame:
     return groups.select("_name", F.col("_group").alias("pos"), composed)
 
 
+# Rows that a walk adds to one array.
+_STRETCH = 128
+
+
+def _walk(items: str, entry: Column, after: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column]) -> Column:
+    """What ``out`` makes of each entry and item along an array, where ``after`` has the next entry.
+
+    Adding to an array copies it, so rows are added to stretches of bounded length, and those to their list: the copies
+    grow with the items and not with their square.
+    """
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(_STRETCH)), lambda i: i <= F.size(items))
+    stretches = F.transform(starts, lambda i: F.slice(items, i, F.lit(_STRETCH)))
+    no_rows = F.flatten(F.transform(F.slice(items, 1, 0), lambda item: out(entry, item)))
+    no_stretches = F.filter(F.array(no_rows), lambda rows: F.lit(False))
+
+    def add(acc: Column, item: Column) -> Column:
+        rows = out(acc["entry"], item)
+        return F.struct(after(acc["entry"], item).alias("entry"), F.concat(acc["out"], rows).alias("out"))
+
+    def add_stretch(acc: Column, stretch: Column) -> Column:
+        walked = F.aggregate(stretch, F.struct(acc["entry"].alias("entry"), no_rows.alias("out")), add)
+        # through an array, so that the stretch is walked once
+        return F.transform(F.array(walked), lambda w: F.struct(
+            w["entry"].alias("entry"), F.concat(acc["out"], F.array(w["out"])).alias("out")))[0]
+
+    return F.flatten(F.aggregate(stretches, F.struct(entry.alias("entry"), no_stretches.alias("out")), add_stretch)["out"])
+
+
 def _entries(pieces: DataFrame, span: int, levels: int, entries: DataFrame | None) -> DataFrame:
     """The entry at the start of each piece (``_name``, ``pos``, ``step``), as ``_name``, ``pos``, ``entry``;
     ``entries`` are those at the start of all."""
@@ -151,15 +179,14 @@ def _entries(pieces: DataFrame, span: int, levels: int, entries: DataFrame | Non
     else:
         starts = _entries(_composed_groups(groups), span, levels - 1, entries)
         groups = groups.join(starts.withColumnRenamed("pos", "_group"), ["_name", "_group"], "left")
-    no_rows = F.array().cast(f"array<struct<pos:bigint,entry:{ENTRY}>>")
-    start = F.struct(F.col("entry").alias("entry"), no_rows.alias("out"))
 
-    def go(acc: Column, piece: Column) -> Column:
-        here = F.struct(piece["pos"].alias("pos"), acc["entry"].alias("entry"))
-        after = F.when(piece["step"].isNull(), acc["entry"]).otherwise(_apply(piece["step"], acc["entry"]))
-        return F.struct(after.alias("entry"), F.concat(acc["out"], F.array(here)).alias("out"))
+    def after(entry: Column, piece: Column) -> Column:
+        return F.when(piece["step"].isNull(), entry).otherwise(_apply(piece["step"], entry))
 
-    return groups.select("_name", F.inline(F.aggregate("_pieces", start, go)["out"]))
+    def here(entry: Column, piece: Column) -> Column:
+        return F.array(F.struct(piece["pos"].alias("pos"), entry.alias("entry")))
+
+    return groups.select("_name", F.inline(_walk("_pieces", F.col("entry"), after, here)))
 
 
 def name_key(name: str = "name") -> Column:
@@ -208,14 +235,11 @@ def operation_delta(polls: DataFrame, span: int = 512, entries: DataFrame | None
     # both sides of the join read one and the same shuffle of the observations
     started = segments.join(_entries(_pieces(segments), span, 1, entries), ["_name", "pos"], "left")
 
-    def decide(acc: Column, r: Column) -> Column:
-        entry = acc["entry"]
+    def after(entry: Column, r: Column) -> Column:
+        return F.when(_silent(r), entry).otherwise(_apply(_step(r), entry))
+
+    def news(entry: Column, r: Column) -> Column:
         changed = _alive(entry, r["poll_ms"]) & (entry["status"] != r["status"])
-        news = r["_hit"] | F.coalesce(changed, F.lit(False))
-        after = F.when(_silent(r), entry).otherwise(_apply(_step(r), entry))
-        out = F.when(news, F.concat(acc["out"], F.array(r))).otherwise(acc["out"])
-        return F.struct(after.alias("entry"), out.alias("out"))
-
-    nothing = F.filter("_rows", lambda r: F.lit(False))
-    news = F.aggregate("_rows", F.struct(F.col("entry").alias("entry"), nothing.alias("out")), decide)["out"]
-    return started.select(F.inline(news)).select(*polls.columns)
+        return F.filter(F.array(r), lambda _: r["_hit"] | F.coalesce(changed, F.lit(False)))
+
+    return started.select(F.inline(_walk("_rows", F.col("entry"), after, news))).select(*polls.columns)

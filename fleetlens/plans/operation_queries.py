@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -119,13 +120,22 @@ def win3_operation_delta(spark, sf_dir):
     return operation_delta(with_cutoff(polls(spark, sf_dir))).select(*_FEED_COLUMNS)
 
 
+def _write_periods(rows, periods, feed):
+    """Files of one period after the other; the rows are computed once for all periods."""
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        for earliest, latest in periods:
+            period = rows.filter(F.col("poll_id").between(earliest, latest - 1))
+            period.repartition(_FILES).write.mode("append").parquet(feed)
+    finally:
+        rows.unpersist()
+
+
 def _streamed_feed(spark, sf_dir, periods):
     """The news of polls that arrive period by period, one batch each."""
     feed, folder = scratch_folder(spark, "polls"), scratch_folder(spark, "news")
     rows = with_cutoff(polls(spark, sf_dir), span=100).select(*_FEED_COLUMNS)
-    for earliest, latest in periods:
-        period = rows.filter(F.col("poll_id").between(earliest, latest - 1))
-        period.repartition(_FILES).write.mode("append").parquet(feed)
+    _write_periods(rows, periods, feed)
     arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
     memory, checkpoint = scratch_folder(spark, "news-memory"), scratch_folder(spark, "news-state")
     start_operation_feed(arriving, folder, memory, checkpoint).awaitTermination()
@@ -188,9 +198,8 @@ def str2_hot_name(spark, sf_dir):
         (F.col("poll_ms") + F.col("_place")).alias("poll_ms"), "status", "start_time", "insert_time")
     feed, folder = scratch_folder(spark, "hot-polls"), scratch_folder(spark, "hot-news")
     rows = with_cutoff(renamed, span=100_000_000).select(*_FEED_COLUMNS)
-    for earliest, latest in ((0, _TENTH), (_TENTH, _TWENTIETH), (_TWENTIETH, _END)):
-        period = rows.filter(F.col("poll_id").between(earliest * 1_000_000, latest * 1_000_000 - 1))
-        period.repartition(_FILES).write.mode("append").parquet(feed)
+    days = ((0, _TENTH), (_TENTH, _TWENTIETH), (_TWENTIETH, _END))
+    _write_periods(rows, [(earliest * 1_000_000, latest * 1_000_000) for earliest, latest in days], feed)
     arriving = read_polls(spark, feed, rows.schema, max_files_per_trigger=_FILES)
     memory, checkpoint = scratch_folder(spark, "hot-memory"), scratch_folder(spark, "hot-state")
     start_operation_feed(arriving, folder, memory, checkpoint, span=8_000_000).awaitTermination()

@@ -1,10 +1,12 @@
-"""Backlogs of many files."""
+"""Backlogs of many files and long segments: what does not grow with the square, or with the number of files."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.operators.change_feed import operation_delta
 from fleetlens.plans import telemetry_queries
 from fleetlens.plans.queries import QUERIES
 
@@ -53,3 +55,27 @@ def test_few_files_keep_their_batches(spark, many_files):
         spark.range(files).repartition(files, "id").selectExpr("cast(id as string) AS value").write.option(
             "maxRecordsPerFile", 1).text(folder)
         assert telemetry_queries._files_per_batch(spark, folder, 2) == share
+
+
+def test_long_segment_takes_time_by_its_rows(spark):
+    """60,000 polls of one name in one segment, all of them news: adding each to an array of all would copy it."""
+    rows = 60_000
+    polls = spark.range(rows).select(
+        F.lit("hot").alias("name"), F.col("id").alias("poll_id"), (F.col("id") * 10).alias("poll_ms"),
+        (F.col("id") * 10 - 10).alias("cutoff_ms"), F.lit("RUNNING").alias("status"),
+        F.lit("1970-01-01T00:00:00.000Z").alias("start_time"), F.lit("1970-01-01T00:00:00.000Z").alias("insert_time"))
+    began = time.monotonic()
+    assert operation_delta(polls, span=1_000_000).agg(F.count("*"), F.countDistinct("poll_id")).first() == (rows, rows)
+    assert time.monotonic() - began < 25
+
+
+@pytest.mark.parametrize("rows", [1, 127, 128, 129, 400])
+def test_stretches_pass_their_entry_on(spark, rows):
+    """Statuses change every third poll; only changes are news, within and across stretches."""
+    polls = spark.range(1, rows + 1).select(
+        F.lit("a").alias("name"), F.col("id").alias("poll_id"), (F.col("id") * 10).alias("poll_ms"),
+        F.when(F.col("id") > 1, F.col("id") * 10 - 10).alias("cutoff_ms"),
+        F.concat(F.lit("S"), F.call_function("div", F.col("id") - 1, F.lit(3)).cast("string")).alias("status"),
+        F.lit("1970-01-01T00:00:00.000Z").alias("start_time"), F.lit("1970-01-01T00:00:00.000Z").alias("insert_time"))
+    got = sorted(r["poll_id"] for r in operation_delta(polls, span=1000).select("poll_id").collect())
+    assert got == list(range(1, rows + 1, 3))
